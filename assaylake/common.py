@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import assaylake
+
+# Functions of this package travel to the Python workers by value, so the workers need no copy of it.
+cloudpickle.register_pickle_by_value(assaylake)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
