@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.common import clean, latest_version, table
+from assaylake.llm.mapping import map_to_canonical
 from assaylake.llm.percentiles import group_percentiles, percentiles_from_counts, period_counts
 from assaylake.llm.topn import top_n_per_group
 
@@ -16,6 +17,12 @@ TOLERANCE = 0.06
 CELL = 1 / 64
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = latest_version(table(spark, sf_dir, "feature_to_hmdb"), "entry_id", "loaded_at", ["entry_id", "feature", "hmdb_id"])
+    listed = table(spark, sf_dir, "hmdb_metabolites")
+    return map_to_canonical(entries, "entry_id", "feature", "hmdb_id", listed, "accession", "name", "synonyms").select("entry_id", F.col("accession").alias("hmdb_id"))
+
+
 def p2_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "pathway_stouffer_scores")
     rows = latest_version(scores, "score_id", "loaded_at", ["score_id", "sample_id", "smp_id", "z_stouffer_abs"])
@@ -53,7 +60,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_topn, p3_found, p3_percentiles, p3_daily)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily)}
 
 
 _SCORES = """scores AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC, sample_id DESC NULLS LAST,
