@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from assaylake.common import clean, latest_version, table
 from assaylake.llm.mapping import map_to_canonical
+from assaylake.llm.mixing import mix_sources, share_report
+from assaylake.llm.packing import fill_report, pack
 from assaylake.llm.percentiles import group_percentiles, percentiles_from_counts, period_counts
+from assaylake.llm.tokens import with_token_counts
 from assaylake.llm.topn import top_n_per_group
 
 TOP = 5
@@ -59,8 +62,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published.join(actual, ["smp_id", "cohort"]).where(off).select("smp_id", "cohort").distinct()
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_packed(spark, sf_dir).where("n_parts > 1 and part = 0").select("doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = with_token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mix_sources(sized, table(spark, sf_dir, "source_weights"), "doc_id")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(*_mixed(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p7_mix, p7_shares)}
 
 
 _SCORES = """scores AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC, sample_id DESC NULLS LAST,
