@@ -12,6 +12,7 @@ from assaylake.llm.mapping import map_to_canonical
 from assaylake.llm.mixing import mix_sources, share_report
 from assaylake.llm.packing import fill_report, pack
 from assaylake.llm.percentiles import group_percentiles, percentiles_from_counts, period_counts
+from assaylake.llm.spans import shared_coverage, shared_pairs
 from assaylake.llm.tokens import with_token_counts
 from assaylake.llm.topn import top_n_per_group
 
@@ -87,8 +88,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(*_mixed(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_coverage(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_coverage)}
 
 
 _SCORES = """scores AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC, sample_id DESC NULLS LAST,
