@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.session import Scratch
+
 PROTECT = "HMDB"
 
 
@@ -110,10 +112,13 @@ def qc_intensity(df: DataFrame, quantile: float, qc: str = "is_qc") -> DataFrame
     return _keep(df, _quantile(s, "mean", quantile), F.col("mean") >= F.col("cut"))
 
 
-def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """filters one after another; each sees the survivors, so quantiles are taken anew."""
-    for step in steps:
-        df = step(df)
+def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame], cut: Scratch | None = None) -> DataFrame:
+    """filters one after another; each sees the survivors, so quantiles are taken anew.
+
+    A filter reads its input twice; with ``cut`` each result is written, so that a long chain doesn't repeat the first steps.
+    """
+    for i, step in enumerate(steps):
+        df = cut.write(step(df), f"chain{i}") if cut else step(df)
     return df
 
 
