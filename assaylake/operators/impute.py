@@ -31,7 +31,7 @@ def with_prediction(df: DataFrame, group: Sequence[str], target: str, predictors
     y = clean(col(target).cast("double"))
     xs = [clean(col(p).cast("double")) for p in predictors]
     wide = df.select("*", *[col(g).alias(a) for g, a in zip(group, keys, strict=True)])
-    means = wide.groupBy(*keys).agg(F.avg(y).alias("__y"), *[F.avg(x).alias(f"__x{j}") for j, x in enumerate(xs)])
+    means = wide.groupBy(*keys).agg(F.avg(y).alias("__y"), *[F.coalesce(F.avg(F.when(y.isNotNull(), x)), F.avg(x)).alias(f"__x{j}") for j, x in enumerate(xs)])
     both = wide.join(means.withColumnsRenamed({a: f"{a}r" for a in keys}), [F.col(a).eqNullSafe(F.col(f"{a}r")) for a in keys], "left").drop(*[f"{a}r" for a in keys])
     dx = [F.coalesce(x - F.col(f"__x{j}"), F.lit(0.0)) for j, x in enumerate(xs)]
     dy = y - F.col("__y")

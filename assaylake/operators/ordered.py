@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.session import Scratch
+
 #: Ranges of the ordering value; their totals are all that is ordered globally.
 RANGES = 256
 
@@ -17,7 +19,8 @@ def running_totals(df: DataFrame, x: str, weights: Sequence[str], descending: bo
     Values are first summed per distinct x, then ordered inside ranges cut at approximate quantiles; the offset of a range
     comes from a table with one row per range. Where the cuts fall changes nothing in the result. NULL x is left out.
     """
-    per = df.where(F.col(x).isNotNull()).groupBy(x).agg(*[F.sum(w).alias(w) for w in weights])
+    # Three passes read the sums, so they are written once.
+    per = Scratch(df.sparkSession).write(df.where(F.col(x).isNotNull()).groupBy(x).agg(*[F.sum(w).alias(w) for w in weights]), "sums")
     cuts = sorted(set(per.select(F.col(x).cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (2 * ranges))))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     per = per.withColumn("_r", F.size(F.filter(bounds, lambda c: c < F.col(x).cast("double"))))
@@ -33,9 +36,10 @@ def running_totals(df: DataFrame, x: str, weights: Sequence[str], descending: bo
 def empirical_p(df: DataFrame, x: str, is_null: str, out: str = "p_value") -> DataFrame:
     """Q5: add the share of null rows whose x is at least as large; NULL x or an empty null distribution give NULL."""
     n = df.withColumn("_n", F.coalesce(F.col(is_null) & F.col(x).isNotNull(), F.lit(False)).cast("long"))
+    n = Scratch(df.sparkSession).write(n, "null")
     at = running_totals(n, x, ["_n"], descending=True).select(F.col(x).alias("_x"), (F.col("_n") + F.col("_n_before")).alias("_ge"))
     total = n.agg(F.sum("_n").alias("_total"))
-    j = df.join(at, F.col(x) == F.col("_x"), "left").crossJoin(F.broadcast(total))
+    j = n.drop("_n").join(at, F.col(x) == F.col("_x"), "left").crossJoin(F.broadcast(total))
     return j.withColumn(out, F.try_divide(F.col("_ge"), F.col("_total"))).drop("_x", "_ge", "_total")
 
 

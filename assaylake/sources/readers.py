@@ -68,7 +68,7 @@ def _number(c: Column) -> Column:
 def wide_to_long(df: DataFrame, feature: str, samples: Sequence[str], name: str = "original_col") -> DataFrame:
     """(feature, <name>, value) of the given columns, text that is no number becoming NULL."""
     cols = df.select(col(feature).alias("feature"), *[_number(col(c)).alias(c) for c in samples])
-    return cols.unpivot("feature", list(samples), name, "value")
+    return cols.unpivot("feature", [col(c) for c in samples], name, "value")
 
 
 def read_wide(spark: SparkSession, path: str, threshold: float | None = None, feature: str = "Name", prefix: str = AREA) -> DataFrame:
@@ -124,7 +124,7 @@ def read_matrix(spark: SparkSession, path: str, labels: Sequence[str], id_column
     rows = rows.select(col(key).alias("sample"), *[_number(col(c)).alias(c) for c in df.columns if c != key])
     for c in labels:
         rows = rows.where(col(c).isNotNull())
-    return rows.unpivot(["sample", *labels], [c for c in df.columns if c != key and c not in labels], "feature", "value")
+    return rows.unpivot(["sample", *map(col, labels)], [col(c) for c in df.columns if c != key and c not in labels], "feature", "value")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
