@@ -33,10 +33,11 @@ def clean_name(c: Column) -> Column:
     return F.regexp_replace(file_stem(c), "_[12]$", "")
 
 
-def clean_name_anywhere(c: Column) -> Column:
-    """The stem without ``_1`` and ``_2`` wherever they stand, except for expQC files."""
+def clean_name_keep_qc(c: Column, as_written: bool = False) -> Column:
+    """As ``clean_name``, but expQC files keep their number; as written, ``_1`` and ``_2`` go wherever they stand."""
     stem = file_stem(c)
-    return F.when(F.lower(stem).contains("expqc"), stem).otherwise(F.replace(F.replace(stem, F.lit("_1"), F.lit("")), F.lit("_2"), F.lit("")))
+    cut = F.replace(F.replace(stem, F.lit("_1"), F.lit("")), F.lit("_2"), F.lit("")) if as_written else F.regexp_replace(stem, "_[12]$", "")
+    return F.when(F.lower(stem).contains("expqc"), stem).otherwise(cut)
 
 
 def batch_of(c: Column, unknown: str = "UNKNOWN") -> Column:

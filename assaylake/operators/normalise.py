@@ -192,7 +192,8 @@ def drift_correct(df: DataFrame, low: float = 0.5, high: float = 2.0, join: str
     f = drift_factors(df, **how)
     d = df.join(f, ["batch", "feature", "position"], "left")
     d = (interpolate if join == "interpolate" else nearest)(d, ["batch", "feature"], "position", "factor", "use")
-    factor = F.coalesce(F.greatest(F.least(F.col("use"), F.lit(high)), F.lit(low)), F.lit(1.0))
+    # least and greatest skip NULLs, so a missing factor is told apart first.
+    factor = F.when(F.col("use").isNotNull(), F.greatest(F.least(F.col("use"), F.lit(high)), F.lit(low))).otherwise(1.0)
     return d.withColumn("value", F.coalesce("cleaned", "value") * factor).drop("factor", "cleaned", "use")
 
 

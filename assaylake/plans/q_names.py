@@ -24,7 +24,12 @@ def t1(spark, d):
 
 @R.add("T02_clean_name_anywhere", f"{_COLS} SELECT record_id, CASE WHEN lower({_STEM}) LIKE '%expqc%' THEN {_STEM} ELSE replace(replace({_STEM}, '_1', ''), '_2', '') END AS name FROM cols")
 def t2(spark, d):
-    return records(spark, d).select("record_id", N.clean_name_anywhere(F.col("original_col")).alias("name"))
+    return records(spark, d).select("record_id", N.clean_name_keep_qc(F.col("original_col"), as_written=True).alias("name"))
+
+
+@R.add("T02_clean_name_keep_qc", f"{_COLS} SELECT record_id, CASE WHEN lower({_STEM}) LIKE '%expqc%' THEN {_STEM} ELSE regexp_replace({_STEM}, '_[12]$', '') END AS name FROM cols")
+def t2b(spark, d):
+    return records(spark, d).select("record_id", N.clean_name_keep_qc(F.col("original_col")).alias("name"))
 
 
 @R.add("T03_batch", rf"""{_COLS} SELECT record_id, coalesce(nullif(regexp_extract({_BASE}, 'posneg_([A-Z]+\d+_\d+)', 1), ''), nullif(regexp_extract({_BASE}, 'Posneg_([A-Z]+\d+_\d+)', 1), ''),

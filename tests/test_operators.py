@@ -16,7 +16,7 @@ def column(spark, c, values, kind="string"):
 
 def test_injection_names(spark):
     files = [r"C:\data\posneg_MZ25_36_25230101131_1.raw", "expQC_MZ25_36_1.raw", "QC3_2.raw", "SampleB (replicate).raw", None, ""]
-    assert column(spark, N.clean_name_anywhere, files) == ["posneg_MZ25_36_25230101131", "expQC_MZ25_36_1", "QC3", "SampleB", None, ""]
+    assert column(spark, N.clean_name_keep_qc, files) == ["posneg_MZ25_36_25230101131", "expQC_MZ25_36_1", "QC3", "SampleB", None, ""]
     assert column(spark, N.batch_of, files[:3]) == ["MZ25_36", "MZ25_36", "QC3_2"]
     assert column(spark, N.clean_name, ["a_10.raw", "a_1.raw"]) == ["a_10", "a"]
 
