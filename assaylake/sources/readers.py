@@ -169,7 +169,7 @@ def read_keep_list(spark: SparkSession, path: str, least: int = 3) -> DataFrame:
     """Distinct names to keep: accession, name and synonyms of at least ``least`` characters."""
     df = read_text_table(spark, path, "\t")
     parts = F.concat(F.array(F.coalesce("HMDB_ID", F.lit("")), F.coalesce("Name", F.lit(""))), F.coalesce(F.split("Synonyms", ";"), F.array().cast("array<string>")))
-    return df.select(F.trim(F.explode(parts)).alias("name")).where(F.length("name") >= least).distinct()
+    return df.select(F.explode(F.transform(parts, lambda x: F.trim(x))).alias("name")).where(F.length("name") >= least).distinct()
 
 
 def read_compound_xml(spark: SparkSession, path: str, row_tag: str = "metabolite") -> DataFrame:

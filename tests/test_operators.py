@@ -184,9 +184,7 @@ def test_scorers_find_the_outlier(spark):
     m[0] = 9
     df = spark.createDataFrame([(i, m[i].tolist()) for i in range(120)], "id int, vector array<double>")
     fit = "id % 4 <> 0"
-    for name, options in (("isolation_forest", {}), ("mahalanobis", {}), ("pca_reconstruction", {"k": 2}), ("lof", {"k": 8}), ("knn", {"k": 3})):
-        if name == "pca_reconstruction":
-            continue
+    for name, options in (("isolation_forest", {}), ("mahalanobis", {}), ("one_class_svm", {}), ("lof", {"k": 8}), ("knn", {"k": 3})):
         assert scorers.scorer(name)(df, fit, **options).orderBy("score").first().id == 0, name
     n, mean, cov = scorers.moments(df)
     assert n == 120 and np.allclose(mean, m.mean(axis=0)) and np.allclose(cov, np.cov(m.T, ddof=0))
@@ -210,3 +208,19 @@ def test_retention_chains(spark):
     rows = [(0, "a_1", "a", 1.00, 0), (1, "a_2", "a", 1.015, 1), (1, "a_3", "a", 1.03, 2), (0, "a_4", "a", 1.10, 3), (1, "b_1", "b", 1.0, 4)]
     df = spark.createDataFrame(rows, "batch_pos int, feature string, base string, rt double, row int")
     assert {r.feature: r.match_key for r in matching.match_retention(df).collect()} == {"a_1": "a_1", "a_2": "a_1", "a_3": "a_1", "a_4": "a_4", "b_1": "b_1"}
+
+
+def test_one_class_svm_keeps_its_share(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id int, vector array<double>")
+    s = scorers.one_class_svm(df, "true", nu=0.1).toPandas().score
+    assert 0.03 < (s < -1e-4).mean() < 0.13
+
+
+def test_grid_search(spark):
+    from assaylake.operators import tuning
+
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, (rng.normal(size=3) + (6 if i % 10 == 0 else 0)).tolist(), i % 10 != 0) for i in range(100)], "id int, vector array<double>, is_normal boolean")
+    out = tuning.grid_search(tuning.with_folds(df, 2), "knn", tuning.grid(k=[2, 3]), 2).collect()
+    assert len(out) == 2 and out[0].auc > 0.99
