@@ -12,8 +12,8 @@ from assaylake.session import Scratch
 
 #: Shares of all rows above which a band begins; the last band holds the rest.
 BAND_SHARES = (0.125, 0.5)
-#: Filled groups are broadcast for the anti-join up to this many; beyond, they are joined by shuffle.
-BROADCAST_GROUPS = 500_000
+#: A group is large from this share of all rows on. At most 1 / LARGE_SHARE groups can be, which bounds what is broadcast.
+LARGE_SHARE = 1e-4
 
 
 def top_n_per_group(
@@ -24,14 +24,15 @@ def top_n_per_group(
     n: int,
     band_source: DataFrame | None = None,
     band_shares: Sequence[float] = BAND_SHARES,
-    broadcast_groups: int = BROADCAST_GROUPS,
+    large_share: float = LARGE_SHARE,
 ) -> DataFrame:
     """The ``n`` rows of each group with the highest score: (group, ties..., score, rank).
 
     The score range is cut into bands at approximate quantiles (of ``band_source``, by default of
     ``df``; where they fall affects speed only). Bands are processed from the top: groups that are
     full already are anti-joined away, the rest is ranked exactly, and of a boundary band a group
-    takes just what it still lacks. Equal scores are always in one band, so ties are decided by
+    takes just what it still lacks. Large full groups are dropped by a broadcast of bounded size before
+    the rows are sorted, small ones by the join that tells what each group has, which moves ranked rows only. Equal scores are always in one band, so ties are decided by
     ``ties`` ascending, NULLs last. Ranking limits each group inside each map task before the
     shuffle, so a group with a third of all rows sends at most ``n`` rows per task.
 
@@ -56,6 +57,8 @@ def top_n_per_group(
     )
     banded = scratch.write(rows, "banded", ["_band"])
     order = Window.partitionBy("_g").orderBy(F.desc("_s"), *[F.asc_nulls_last(a) for a in names])
+    sizes = banded.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
+    large = scratch.write(sizes.where(F.col("_size") >= F.lit(max(2.0, banded.count() * large_share))).select("_g"), "large")
     done: DataFrame | None = None
     for k in range(len(cuts) + 1):
         rows = banded.where(F.col("_band") == k).drop("_band")
@@ -63,9 +66,8 @@ def top_n_per_group(
             taken = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
         else:
             have = done.groupBy("_g").agg(F.count(F.lit(1)).alias("_have"))
-            full = have.where(F.col("_have") >= n).select("_g")
-            if full.limit(broadcast_groups + 1).count() <= broadcast_groups:
-                rows = rows.join(F.broadcast(full), "_g", "left_anti")
+            full = have.where(F.col("_have") >= n).join(F.broadcast(large), "_g", "left_semi").select("_g")
+            rows = rows.join(F.broadcast(full), "_g", "left_anti")
             ranked = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
             # Ranked rows are partitioned by group already, so this join moves only the counts.
             taken = (
@@ -76,5 +78,5 @@ def top_n_per_group(
             )
         taken = scratch.write(taken, f"taken{k}")
         done = taken if done is None else done.unionByName(taken)
-    scratch.drop("banded")
+    scratch.drop("banded", "large")
     return done.select(F.col("_g").alias(group), *[F.col(a).alias(t) for a, t in zip(names, ties, strict=True)], F.col("_s").alias(score), F.col("_rank").alias("rank"))

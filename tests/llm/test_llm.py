@@ -70,7 +70,7 @@ def test_top_n_with_ties_bands_and_hot_group(spark):
         if g is not None and s is not None and s == s:
             groups[g].append((-s, t is None, t or "", i))
     want = Counter((g, i) for g, v in groups.items() for *_, i in sorted(v)[:5])
-    for how in ({}, {"band_shares": (0.02, 0.2, 0.6)}, {"broadcast_groups": 0}):
+    for how in ({}, {"band_shares": (0.02, 0.2, 0.6)}, {"large_share": 0.9}, {"large_share": 1e-9}):
         assert Counter((r.g, r.id) for r in topn.top_n_per_group(df, "g", "s", ["t", "id"], 5, **how).collect()) == want
     assert topn.top_n_per_group(df.limit(0), "g", "s", ["t", "id"], 5).count() == 0
 
