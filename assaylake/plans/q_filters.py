@@ -151,6 +151,12 @@ def f22(spark, d):
     return X.keep_listed(typed, table(spark, d, "hmdb_metabolites").select("name"), N.normal_name, N.loose_name).select("feature", "matched")
 
 
+@R.add("F22_keep_listed_whole")
+def f22w(spark, d):
+    every = table(spark, d, "feature_to_hmdb").where("feature is not null").select("feature").distinct()
+    return X.keep_listed(every, table(spark, d, "hmdb_metabolites").select("name"), N.normal_name, N.loose_name).select("feature", "matched")
+
+
 @R.add("F28_split_constant", f"{_M}, b AS (SELECT feature, sample, batch, value FROM matrix WHERE value > 700000) SELECT feature FROM b GROUP BY 1 HAVING coalesce(var_pop(value), 0) > 0")
 def f28(spark, d):
     return _names(X.split_constant(matrix(spark, d).where("value > 700000"))[0])

@@ -223,6 +223,17 @@ def j11(spark, d):
     return _matched(spark, d)
 
 
+def _matched_whole(spark, d) -> DataFrame:
+    """All names; the twins of the queries on ``_matched`` stop at ASCII, as DuckDB has no NFKC."""
+    every = table(spark, d, "feature_to_hmdb").where("feature is not null").select("feature")
+    return M.match_features(every, M.name_index(table(spark, d, "hmdb_metabolites")))
+
+
+@R.add("J11_match_features_whole")
+def j11w(spark, d):
+    return _matched_whole(spark, d)
+
+
 _EDGES = """edges AS (SELECT DISTINCT smp_id, hmdb_id FROM biomarker_attachments WHERE smp_id LIKE 'SMP%' AND hmdb_id LIKE 'HMDB%')"""
 
 
@@ -235,14 +246,27 @@ def j12(spark, d):
     return M.link_pathways(_matched(spark, d), _edges(spark, d))
 
 
+@R.add("J12_link_pathways_whole")
+def j12w(spark, d):
+    return M.link_pathways(_matched_whole(spark, d), _edges(spark, d))
+
+
 _COVER = f"""{_TYPED}, {_EDGES}, links AS (SELECT DISTINCT feature, hmdb_id, smp_id FROM matched JOIN edges USING (hmdb_id)), total AS (SELECT smp_id, count(DISTINCT hmdb_id) AS n FROM edges GROUP BY 1), hit AS (SELECT smp_id, count(DISTINCT hmdb_id) AS m, count(DISTINCT feature) AS f, array_to_string(list_sort(list(DISTINCT hmdb_id)), ';') AS ids FROM links GROUP BY 1),
     cover AS (SELECT smp_id, n AS n_metabolites, coalesce(m, 0) AS n_matched_metabolites, coalesce(f, 0) AS n_matched_features, coalesce(ids, '') AS ids, coalesce(m, 0) / n AS coverage FROM total LEFT JOIN hit USING (smp_id))"""
 
 
 @R.add("J13_coverage", f"{_COVER} SELECT smp_id, n_metabolites, n_matched_metabolites, n_matched_features, ids, round(coverage, 8) AS coverage FROM cover WHERE coverage >= 0.2")
 def j13(spark, d):
-    e = _edges(spark, d)
-    c = M.coverage(M.link_pathways(_matched(spark, d), e), e, 0.2)
+    return _coverage(_matched(spark, d), _edges(spark, d))
+
+
+@R.add("J13_coverage_whole")
+def j13w(spark, d):
+    return _coverage(_matched_whole(spark, d), _edges(spark, d))
+
+
+def _coverage(matched: DataFrame, e: DataFrame) -> DataFrame:
+    c = M.coverage(M.link_pathways(matched, e), e, 0.2)
     return c.select("smp_id", "n_metabolites", "n_matched_metabolites", "n_matched_features", F.array_join("matched_metabolites", ";").alias("ids"), F.round("coverage", 8).alias("coverage"))
 
 
@@ -251,6 +275,11 @@ def j14(spark, d):
     return M.supersede_plain(_matched(spark, d))[1]
 
 
+@R.add("J14_supersede_whole")
+def j14w(spark, d):
+    return M.supersede_plain(_matched_whole(spark, d))[1]
+
+
 _STORED = """stored AS (SELECT DISTINCT feature, upper(trim(hmdb_id)) AS hmdb_id FROM feature_to_hmdb WHERE feature IS NOT NULL AND trim(hmdb_id) <> ''), many AS (SELECT feature, hmdb_id, count(*) OVER (PARTITION BY feature) AS n_hmdb_ids FROM stored)"""
 
 

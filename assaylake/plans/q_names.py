@@ -93,6 +93,24 @@ def t12(spark, d):
     return _typed(spark, d).select("feature", N.accession_tag(N.normal_name(F.col("feature"))).alias("tag"))
 
 
+# DuckDB has no NFKC, so the twins above hold for ASCII names only; these three run on every name and have no twin.
+def _every(spark, d):
+    return table(spark, d, "feature_to_hmdb").where("feature is not null").select("feature").distinct()
+
+
+@R.add("T10_normal_name_whole")
+def t10w(spark, d):
+    return _every(spark, d).select("feature", N.normal_name(F.col("feature")).alias("name"))
+
+
+@R.add("T11_loose_name_whole")
+def t11w(spark, d):
+    return _every(spark, d).select("feature", N.loose_name(F.col("feature")).alias("name"))
+
+
+@R.add("T12_accession_tag_whole")
+def t12w(spark, d):
+    return _every(spark, d).select("feature", N.accession_tag(N.normal_name(F.col("feature"))).alias("tag"))
 
 
 @R.add("T13_split_outside", "SELECT DISTINCT accession, list_filter([trim(name), trim(coalesce(formula, ''))], lambda x: x <> '') AS parts FROM hmdb_metabolites WHERE name IS NOT NULL AND name NOT LIKE '%;%'")
