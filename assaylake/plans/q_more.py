@@ -31,9 +31,18 @@ def _folder(spark) -> str:
 
 @R.add("R01_wide_round_trip", f"{_M} SELECT feature, 'S' || sample AS sample_id, value FROM matrix WHERE is_qc")
 def r1(spark, d):
-    m = matrix(spark, d).where("is_qc").select("feature", F.concat(F.lit("Area: S"), F.col("sample").cast("string"), F.lit(".raw (F1)")).alias("c"), "value")
+    return _round_trip(spark, matrix(spark, d).where("is_qc"), f"wide-{abs(hash(d))}")
+
+
+@R.add("R01_wide_round_trip_whole", f"{_M} SELECT feature, 'S' || sample AS sample_id, value FROM matrix")
+def r1w(spark, d):
+    return _round_trip(spark, matrix(spark, d), f"whole-{abs(hash(d))}")
+
+
+def _round_trip(spark, cells: DataFrame, name: str) -> DataFrame:
+    m = cells.select("feature", F.concat(F.lit("Area: S"), F.col("sample").cast("string"), F.lit(".raw (F1)")).alias("c"), "value")
     wide = writers.widen(m, "feature", "c", "value").withColumnRenamed("feature", "Name")
-    path = f"{_folder(spark)}/wide-{abs(hash(d))}.csv"
+    path = f"{_folder(spark)}/{name}.csv"
     writers.write_delimited(wide, path)
     return readers.read_wide(spark, path).where("value is not null").select("feature", "sample_id", "value")
 

@@ -3,7 +3,8 @@
 import re
 import unicodedata
 
-from assaylake.plans import q_filters, q_matrix, q_names
+from assaylake.plans import q_filters, q_matrix, q_more, q_names
+from oracle import assert_same
 
 NAMES = ["α-D-Glucose", "alpha-D-Glucose", "Citrulline ", "4‑hydroxy–X", "γ‐GABA", "Ｃortisol.HMDB0000063", "µ-Thing.HMDB0000099", "20:3ω6", "20:3W6", "ϑ-acid", "plain", "Δ", None]
 ENTRIES = [("HMDB0000001", "Alpha-D-Glucose", None), ("HMDB0000002", "Citrulline", None), ("HMDB0000003", "4-Hydroxy-X", ["4HX"]), ("HMDB0000004", "gamma GABA", None), ("HMDB0000005", "Theta-acid", ["20:3omega6"])]
@@ -43,3 +44,10 @@ def test_names_beyond_ascii(spark, tmp_path):
             hits, how = {a for a, x in index if brute_loose(x) == brute_loose(n)}, "name_loose"
         want |= {(n, h, how, len(hits)) for h in hits} or {(n, None, "unmatched", 0)}
     assert {tuple(r) for r in q_matrix.queries()["J11_match_features_whole"](spark, d).collect()} == want
+
+
+def test_whole_width_round_trip(spark, sf):
+    name = "R01_wide_round_trip_whole"
+    assert_same(spark, sf, q_more.queries()[name], q_more.oracle_sql()[name])
+    n = {r.sample_id for r in q_more.queries()[name](spark, sf).select("sample_id").distinct().collect()}
+    assert len(n) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
