@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.draws import poisson
+
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     """Q12: exact binomial confidence limits by halving the interval of the binomial tail."""
@@ -122,7 +126,7 @@ def drift_stats(df: DataFrame, group: str, score: str, nominal: float, reference
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, seed: int = 20260923) -> DataFrame:
-    """Q14: (replicate, mean) of a bootstrap by hashed Poisson(1) weights.
+    """(replicate, mean) of a bootstrap by hashed Poisson(1) weights.
 
     Each row draws its weight for each replicate by a hash of key, seed and replicate, so resampling needs no
     copy of the data in any task and gives the same result under every partitioning.
@@ -139,6 +143,48 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, s
     return rows.groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
 
 
+def bootstrap_auc(df: DataFrame, key: str, score: str, positive: str, replicates: int = 2000, seed: int = 20260923, level: float = 0.95, parts: int | None = None) -> DataFrame:
+    """Q14: one row (auc, low, high, n): the AUC and the percentile interval of its bootstrap by Poisson(1) weights.
+
+    Rows are cut into ranges of the score. Each range is read in order once, for all replicates together, and gives
+    per replicate its weights of both classes and of its ordered pairs; running totals over the ranges add the pairs
+    between them. Replicates without one of the classes are left out; ``n`` is the number of the others.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(positive).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(score).cast("double").alias("x"), F.col(positive).alias("p"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        pairs, ps, ns, p_open, n_open = (np.zeros(replicates + 1) for _ in range(5))
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                x, pos = part["x"].to_numpy(), part["p"].to_numpy(dtype=bool)[:, None]
+                # Replicate 0 is the sample itself.
+                w = np.concatenate([np.ones((len(x), 1), dtype=np.uint8), poisson(part["h"].to_numpy(), replicates)], axis=1)
+                starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                p, n = (np.add.reduceat(w * m, starts, axis=0, dtype=np.float64) for m in (pos, ~pos))
+                same = last is not None and x[0] == last
+                before = np.cumsum(n, axis=0) - n + ns
+                if same:
+                    # The chunk goes on with a score whose earlier rows are counted in ns already: half pairs with them, not whole ones.
+                    pairs += (n[0] * p_open - p[0] * n_open) / 2
+                pairs += np.einsum("gr,gr->r", p, before + n / 2)
+                ps, ns = ps + p.sum(axis=0), ns + n.sum(axis=0)
+                go_on = same and len(starts) == 1
+                p_open, n_open = (p_open + p[0], n_open + n[0]) if go_on else (p[-1], n[-1])
+                first, last = x[0] if first is None else first, x[-1]
+        if first is not None:
+            yield pd.DataFrame({"lo": first, "replicate": np.arange(replicates + 1), "pairs": pairs, "ps": ps, "ns": ns})
+
+    ranges = rows.repartitionByRange(parts, "x").sortWithinPartitions("x").mapInPandas(run, "lo double, replicate int, pairs double, ps double, ns double")
+    before = F.coalesce(F.sum("ns").over(Window.partitionBy("replicate").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    per = ranges.withColumn("pairs", F.col("pairs") + F.col("ps") * before).groupBy("replicate").agg(F.try_divide(F.sum("pairs"), F.sum("ps") * F.sum("ns")).alias("auc"))
+    drawn, a = F.when(F.col("replicate") > 0, F.col("auc")), (1 - level) / 2
+    return per.agg(F.max(F.when(F.col("replicate") == 0, F.col("auc"))).alias("auc"), F.percentile(drawn, F.lit(a)).alias("low"), F.percentile(drawn, F.lit(1 - a)).alias("high"), F.count(drawn).alias("n"))
+
+
 def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return replicates.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))

@@ -191,7 +191,7 @@ def q12(spark, d):
 
 @R.add("Q14_bootstrap")
 def q14(spark, d):
-    return E.interval(E.bootstrap_mean(_binary(spark, d), "record_id", "score", 100))
+    return E.bootstrap_auc(_binary(spark, d), "record_id", "score", "positive")
 
 
 @R.add("Q21_threshold_stability")

@@ -3,7 +3,12 @@
 import re
 import unicodedata
 
-from assaylake.plans import q_filters, q_matrix, q_more, q_names
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from assaylake.operators import draws, evaluate
+from assaylake.plans import q_evaluate, q_filters, q_matrix, q_more, q_names
 from oracle import assert_same
 
 NAMES = ["α-D-Glucose", "alpha-D-Glucose", "Citrulline ", "4‑hydroxy–X", "γ‐GABA", "Ｃortisol.HMDB0000063", "µ-Thing.HMDB0000099", "20:3ω6", "20:3W6", "ϑ-acid", "plain", "Δ", None]
@@ -51,3 +56,21 @@ def test_whole_width_round_trip(spark, sf):
     assert_same(spark, sf, q_more.queries()[name], q_more.oracle_sql()[name])
     n = {r.sample_id for r in q_more.queries()[name](spark, sf).select("sample_id").distinct().collect()}
     assert len(n) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
+
+
+def test_bootstrap_of_the_auc(spark, sf):
+    rng = np.random.default_rng(12)
+    # Ties, also over the 512 rows that are read at once.
+    x = np.r_[np.round(rng.normal(size=900), 1), np.full(700, 0.3)]
+    y = rng.random(1600) < 1 / (1 + np.exp(-x))
+    df = spark.createDataFrame([(i, float(x[i]), bool(y[i])) for i in range(1600)], "id long, x double, y boolean")
+    keys = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64(F.lit(5), "id")).collect()])
+    w = np.c_[np.ones(1600), draws.poisson(keys, 60)]
+    assert abs(w[:, 1:].mean() - 1) < 0.01 and abs(w[:, 1:].var() - 1) < 0.02
+    order = (x[:, None] > x[None, :]) + (x[:, None] == x[None, :]) / 2
+    brute = [(w[:, r] * y) @ order @ (w[:, r] * ~y) / ((w[:, r] * y).sum() * (w[:, r] * ~y).sum()) for r in range(61)]
+    want = (brute[0], *np.percentile(brute[1:], [2.5, 97.5]), 60)
+    for parts in (1, 7):
+        assert tuple(evaluate.bootstrap_auc(df, "id", "x", "y", 60, 5, parts=parts).first()) == pytest.approx(want)
+    assert tuple(evaluate.bootstrap_auc(df.where("y"), "id", "x", "y", 20).first()) == (None, None, None, 0)
+    assert q_evaluate.queries()["Q14_bootstrap"](spark, sf).first().n == 2000
