@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.draws import mix
 from assaylake.session import Scratch
 
 #: Numbers in a block of vectors that is sent to the tasks: 32 MB.
@@ -144,27 +145,74 @@ def cluster_spread(vectors: DataFrame) -> DataFrame:
     return s.groupBy("label").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_distance"), F.max("most").alias("max_distance"))
 
 
-def permanova(vectors: DataFrame, permutations: int = 199, seed: int = 7, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+def permanova(vectors: DataFrame, permutations: int = 1000, seed: int = 7) -> DataFrame:
     """One row (pseudo_f, p_value) for Euclidean distances.
 
     With Euclidean distances the sums of squares follow from group means, so a permutation needs one pass of
-    sums instead of all pairs: labels are reassigned by the rank of a hash inside the table of ids.
+    sums instead of all pairs. It deals the labels by the rank of a hash of the id; only the hashes where one
+    group ends and the next begins are needed. Counts per bucket of hashes say in which buckets these lie,
+    and only the hashes of those buckets are sorted, so no task holds all ids of a permutation.
     """
-    rows = vectors.where("vector is not null and label is not null").select("id", "label", F.posexplode("vector").alias("dim", "x"))
-    n = rows.select("id").distinct().count()
-    groups = vectors.where("vector is not null and label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("size")).orderBy("label").collect()
-    k = len(groups)
+    spark = vectors.sparkSession
+    rows = vectors.where("vector is not null and label is not null").select(F.xxhash64(F.lit(seed), "id").alias("h"), "label", F.col("vector").cast("array<double>").alias("vector"))
+    groups = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).orderBy("label").collect()
+    k, n = len(groups), sum(g["size"] for g in groups)
     if k < 2 or n <= k:
-        return vectors.sparkSession.createDataFrame([(None, None)], "pseudo_f double, p_value double")
-    bounds = np.cumsum([g["size"] for g in groups])
-    ids = vectors.where("vector is not null and label is not null").select("id", "label", "vector")
-    reps = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep"), "label")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "id"), "id"))
-    dealt = reps.withColumn("r", rank).withColumn("g", F.when(F.col("rep") == 0, F.array_position(F.array(*[F.lit(g.label) for g in groups]), F.col("label")).cast("int") - 1).otherwise(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("r")))))
-    cells = rows.drop("label").join(dealt.select("id", "rep", "g"), "id")
-    per = cells.groupBy("rep", "g", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    f = per.groupBy("rep").agg((F.sum("ss") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("within"), F.sum("ss").alias("all"))
-    total = per.groupBy("rep", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).groupBy("rep").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("mean_ss"))
-    f = f.join(total, "rep").withColumn("f", ((F.col("all") - F.col("mean_ss") - F.col("within")) / (k - 1)) / (F.col("within") / (n - k)))
-    seen = f.where("rep = 0").select(F.col("f").alias("pseudo_f"))
-    return f.where("rep > 0").crossJoin(F.broadcast(seen)).groupBy("pseudo_f").agg(((F.count_if(F.col("f") >= F.col("pseudo_f")) + 1) / F.lit(permutations + 1)).alias("p_value"))
+        return spark.createDataFrame([(None, None)], "pseudo_f double, p_value double")
+    names, ends = [g["label"] for g in groups], np.cumsum([g["size"] for g in groups])[:-1]
+    buckets = min(256, max(1, n // 64))
+
+    def hashes(h: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of permutations, the hashes (ids x permutations) as positive numbers, and their buckets."""
+        for at in range(1, permutations + 1, 100):
+            reps = np.arange(at, min(at + 100, permutations + 1))
+            z = (mix(h.to_numpy(), reps) >> np.uint64(1)).view(np.int64)
+            yield reps, z, ((z >> 31) * buckets) >> 32
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((permutations + 1, buckets), dtype=np.int64)
+        for pdf in batches:
+            for reps, _, b in hashes(pdf["h"]):
+                total[reps] += np.bincount((np.arange(len(reps)) * buckets + b).ravel(), minlength=len(reps) * buckets).reshape(len(reps), buckets)
+        yield pd.DataFrame({"rep": np.repeat(np.arange(1, permutations + 1), buckets), "b": np.tile(np.arange(buckets), permutations), "n": total[1:].ravel()})
+
+    seen = rows.select("h").mapInPandas(count, "rep int, b int, n bigint").groupBy("rep", "b").agg(F.sum("n").alias("n")).toPandas()
+    sizes = np.zeros((permutations + 1, buckets), dtype=np.int64)
+    sizes[seen["rep"], seen["b"]] = seen["n"]
+    upto = sizes.cumsum(axis=1)
+    # The last id of a group is number ``rank`` in the bucket ``where``.
+    where = np.stack([(upto < e).sum(axis=1) for e in ends], axis=1).clip(max=buckets - 1)
+    rank = ends[None, :] - np.take_along_axis(upto - sizes, where, axis=1)
+
+    def near_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for reps, z, b in hashes(pdf["h"]):
+                for j in range(k - 1):
+                    i, r = np.nonzero(b == where[reps, j])
+                    yield pd.DataFrame({"rep": reps[r], "j": j, "z": z[i, r], "rank": rank[reps[r], j]})
+
+    cut = rows.select("h").mapInPandas(near_ends, "rep int, j int, z bigint, rank bigint").groupBy("rep", "j").agg(F.element_at(F.sort_array(F.collect_list("z")), F.first("rank").cast("int")).alias("z")).toPandas()
+    cuts = np.zeros((permutations + 1, k - 1), dtype=np.int64)
+    cuts[cut["rep"], cut["j"]] = cut["z"]
+    # Sums around the mean keep the digits that large common values would take.
+    mean = np.array([r.m for r in rows.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").collect()])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64) - mean
+            codes = pdf["label"].map({v: i for i, v in enumerate(names)}).to_numpy()
+            yield pd.DataFrame({"rep": -1, "g": 0, "s": [[float((x * x).sum())]]})
+            yield pd.DataFrame({"rep": 0, "g": np.arange(k), "s": [x[codes == g].sum(axis=0) for g in range(k)]})
+            for reps, z, _ in hashes(pdf["h"]):
+                dealt = sum((z > cuts[reps, j]).astype(np.int64) for j in range(k - 1))
+                for g in range(k):
+                    yield pd.DataFrame({"rep": reps, "g": g, "s": list((dealt == g).T.astype(np.float64) @ x)})
+
+    per = rows.mapInPandas(sums, "rep int, g int, s array<double>").select("rep", "g", F.posexplode("s").alias("dim", "s")).groupBy("rep", "g", "dim").agg(F.sum("s").alias("s"))
+    size = F.element_at(F.array(*[F.lit(g["size"]) for g in groups]), F.col("g") + 1)
+    f = per.groupBy("rep").agg(F.sum(F.when(F.col("rep") < 0, F.col("s")).otherwise(F.col("s") * F.col("s") / size)).alias("v"))
+    f = Scratch(spark).write(f, "permuted")
+    fixed = f.agg(F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("every"), F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("own"))
+    ratio = lambda c: F.try_divide(F.col(c) / (k - 1), (F.col("every") - F.col(c)) / (n - k))
+    f = f.where("rep > 0").crossJoin(F.broadcast(fixed)).select(ratio("v").alias("f"), ratio("own").alias("pseudo_f"))
+    return f.groupBy("pseudo_f").agg(((F.count_if(F.col("f") >= F.col("pseudo_f")) + 1) / F.lit(permutations + 1)).alias("p_value"))

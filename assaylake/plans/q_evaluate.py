@@ -73,7 +73,7 @@ def a13(spark, d):
 
 @R.add("A14_permanova")
 def a14(spark, d):
-    return B.permanova(_vectors(spark, d), 49)
+    return B.permanova(_vectors(spark, d))
 
 
 @R.add("J24_nearest_neighbours", f"{_PAIR}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS r FROM p) SELECT id, neighbour, round(d, 6) AS distance, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 5")

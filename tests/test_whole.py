@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import draws, evaluate
+from assaylake.operators import draws, effects, evaluate
 from assaylake.plans import q_evaluate, q_filters, q_matrix, q_more, q_names
 from oracle import assert_same
 
@@ -74,3 +74,24 @@ def test_bootstrap_of_the_auc(spark, sf):
         assert tuple(evaluate.bootstrap_auc(df, "id", "x", "y", 60, 5, parts=parts).first()) == pytest.approx(want)
     assert tuple(evaluate.bootstrap_auc(df.where("y"), "id", "x", "y", 20).first()) == (None, None, None, 0)
     assert q_evaluate.queries()["Q14_bootstrap"](spark, sf).first().n == 2000
+
+
+def test_permanova_equals_brute_force(spark, sf):
+    rng = np.random.default_rng(13)
+    n, reps = 150, 99
+    label, m = np.sort(rng.integers(0, 3, n)), rng.normal(size=(n, 4)) + 5
+    m[:, 0] += 0.25 * label
+    df = spark.createDataFrame([(i, m[i].tolist(), int(label[i])) for i in range(n)], "id int, vector array<double>, label int").repartition(5)
+    keys = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64(F.lit(7), "id")).collect()])
+
+    def pseudo_f(g):
+        between = sum((g == k).sum() * ((m[g == k].mean(axis=0) - m.mean(axis=0)) ** 2).sum() for k in range(3))
+        return between / 2 / ((((m - m.mean(axis=0)) ** 2).sum() - between) / (n - 3))
+
+    z = draws.mix(keys, np.arange(1, reps + 1)) >> np.uint64(1)
+    dealt = [label[np.argsort(np.argsort(z[:, r]))] for r in range(reps)]
+    f = pseudo_f(label)
+    want = (f, (sum(pseudo_f(g) >= f for g in dealt) + 1) / (reps + 1))
+    assert tuple(effects.permanova(df, reps).first()) == pytest.approx(want) and 0.01 < want[1] < 1
+    p = q_evaluate.queries()["A14_permanova"](spark, sf).first().p_value
+    assert p * 1001 == pytest.approx(round(p * 1001))
