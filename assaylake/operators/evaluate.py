@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.operators.draws import poisson
+from assaylake.operators.draws import mix, poisson
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -190,6 +190,32 @@ def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) ->
     return replicates.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))
 
 
+def threshold_stability(scores: DataFrame, key: str, sample: str, score: str, share: float = 0.99, replicates: int = 200, seed: int = 20260923) -> DataFrame:
+    """Q21: (key, median, wobble) of the reference scores' percentile per key over bootstraps of the samples; wobble is IQR / median.
+
+    A bootstrap of n draws contains a given sample with probability 1 - 1/e; drawn samples count once. Whether a
+    sample is drawn depends on its id and the replicate, so all keys see the same samples. The scores of a key are
+    sorted once for all replicates.
+    """
+    bound = np.uint64(round((1 - math.exp(-1)) * 2**53))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        x, h, cut = pdf["x"].to_numpy(), pdf["h"].to_numpy(), np.full(replicates, np.nan)
+        for r in range(replicates):
+            at = np.flatnonzero((mix(h, np.array([r + 1]))[:, 0] >> np.uint64(11)) < bound)
+            if len(at):
+                place = share * (len(at) - 1)
+                low = x[at[math.floor(place)]]
+                cut[r] = low + (place - math.floor(place)) * (x[at[math.ceil(place)]] - low)
+        q = np.nanpercentile(cut, [25, 50, 75]) if np.isfinite(cut).any() else [np.nan] * 3
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "median": q[1], "iqr": q[2] - q[0]})
+
+    rows = scores.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.lit(seed), sample).alias("h"), F.col(score).cast("double").alias("x"))
+    out = rows.groupBy("k").applyInPandas(run, f"k {dict(rows.dtypes)['k']}, median double, iqr double").where("not isnan(median)")
+    return out.select(F.col("k").alias(key), "median", F.try_divide("iqr", "median").alias("wobble"))
+
+
 def rsd_report(df: DataFrame, qc: str, by: Sequence[str] = ()) -> DataFrame:
     """Relative deviation of the controls per feature."""
     v = F.when(F.col(qc), F.col("value"))

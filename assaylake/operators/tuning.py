@@ -14,6 +14,7 @@ from assaylake.operators.evaluate import folds_summary
 from assaylake.operators.labels import stratified_folds, stratified_split
 from assaylake.operators.ordered import auc, average_precision
 from assaylake.operators.scorers import scorer
+from assaylake.session import Scratch
 
 
 def out_of_fold(vectors: DataFrame, name: str, folds: int = 5, **options: Any) -> DataFrame:
@@ -44,6 +45,8 @@ def grid_search(vectors: DataFrame, name: str, configurations: Sequence[Mapping[
 
 def repeated_splits(samples: DataFrame, key: str, stratum: str, runs: int = 20, base: int = 20260923, step: int = 1000, fraction: float = 0.5) -> DataFrame:
     """(key, run, seed, is_validation) of repeated stratified splits with seeds base + step * run."""
+    # Every run reads the samples, so they are written once.
+    samples = Scratch(samples.sparkSession).write(samples.select(key, stratum), "samples")
     parts = [stratified_split(samples, key, stratum, fraction, base + step * r).select(key, F.lit(r).alias("run"), F.lit(base + step * r).alias("seed"), "is_validation") for r in range(runs)]
     return reduce(DataFrame.unionByName, parts)
 

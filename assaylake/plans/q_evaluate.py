@@ -197,12 +197,7 @@ def q14(spark, d):
 @R.add("Q21_threshold_stability")
 def q21(spark, d):
     s = _scored(spark, d).where("is_normal and score is not null")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("replicate"), F.col("sample_id")), 11) / F.lit(float(1 << 53))
-    # A bootstrap of n draws contains a given sample with probability 1 - 1/e; drawn samples count once.
-    rep = s.select("smp_id", "sample_id", "score", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("replicate")).where(u < 0.6321205588)
-    t = rep.groupBy("smp_id", "replicate").agg(F.percentile("score", F.lit(0.95)).alias("t"))
-    q = t.groupBy("smp_id").agg(F.percentile("t", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("smp_id", F.col("q")[1].alias("median"), F.try_divide(F.col("q")[2] - F.col("q")[0], F.col("q")[1]).alias("wobble"))
+    return E.threshold_stability(s, "smp_id", "sample_id", "score", 0.95)
 
 
 @R.add("S12_realistic", f"""{_R}, x AS (SELECT -neszumjoboside AS score, CASE WHEN classification IS NULL OR oordeel_targeted IS NULL THEN NULL WHEN classification = 0 AND oordeel_targeted = 0 THEN 'inlier' WHEN classification = 1 AND oordeel_targeted = 1 AND coalesce(non_treated = 1, false) THEN 'outlier' ELSE 'gray' END AS role FROM records WHERE neszumjoboside IS NOT NULL),

@@ -175,6 +175,14 @@ def s20(spark, d):
     return T.repeated_splits(o, "sample_id", "c", 3)
 
 
+@R.add("S20_repeated_splits_whole", f"""{_R}, o AS (SELECT sample_id, max(coalesce(classification, -1)) AS c FROM records WHERE sample_id IS NOT NULL GROUP BY 1), s AS (SELECT unnest(range(20)) AS run),
+    r AS (SELECT sample_id, run, 20260923 + 1000 * run AS seed, row_number() OVER (PARTITION BY run, c ORDER BY md5(sample_id || ':' || CAST(20260923 + 1000 * run AS VARCHAR)), sample_id) AS r, count(*) OVER (PARTITION BY run, c) AS n FROM o, s)
+    SELECT sample_id, run, seed, r <= round_even(n * 0.5, 0) AS is_validation FROM r""")
+def s20w(spark, d):
+    o = records(spark, d).where("sample_id is not null").groupBy("sample_id").agg(F.max(F.coalesce("classification", F.lit(-1.0))).alias("c"))
+    return T.repeated_splits(o, "sample_id", "c")
+
+
 @R.add("R13_typed_keep_list", "SELECT DISTINCT trim(name) AS name FROM hmdb_metabolites WHERE length(trim(name)) >= 3")
 def r13(spark, d):
     path = f"{_folder(spark)}/keep-{abs(hash(d))}.tsv"

@@ -95,3 +95,28 @@ def test_permanova_equals_brute_force(spark, sf):
     assert tuple(effects.permanova(df, reps).first()) == pytest.approx(want) and 0.01 < want[1] < 1
     p = q_evaluate.queries()["A14_permanova"](spark, sf).first().p_value
     assert p * 1001 == pytest.approx(round(p * 1001))
+
+
+def test_threshold_stability_equals_brute_force(spark, sf, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(k, s, float(rng.gamma(2))) for k in ("a", "b") for s in range(40)] + [("c", 1, 2.0), ("d", 2, None)]
+    df = spark.createDataFrame(rows, "k string, s long, x double")
+    keys = dict(spark.range(40).select("id", F.xxhash64(F.lit(20260923), "id")).collect())
+    drawn = {s: draws.mix(np.array([h]), np.arange(1, 201))[0] / 2.0**64 < 1 - np.exp(-1) for s, h in keys.items()}
+    want = {}
+    for k in "abc":
+        cut = [np.percentile(x, 99) for r in range(200) if (x := [v for g, s, v in rows if g == k and drawn[s][r]])]
+        q = np.percentile(cut, [25, 50, 75])
+        want[k] = (pytest.approx(q[1]), pytest.approx((q[2] - q[0]) / q[1]))
+    assert {r.k: (r["median"], r.wobble) for r in evaluate.threshold_stability(df, "k", "s", "x").collect()} == want
+    # The query leaves the operator's count alone.
+    given = {}
+    monkeypatch.setattr(evaluate, "threshold_stability", lambda *a, **how: given.update(n=len(a), how=how))
+    q_evaluate.queries()["Q21_threshold_stability"](spark, sf)
+    assert given == {"n": 5, "how": {}}
+
+
+def test_twenty_splits(spark, sf):
+    name = "S20_repeated_splits_whole"
+    assert_same(spark, sf, q_more.queries()[name], q_more.oracle_sql()[name])
+    assert q_more.queries()[name](spark, sf).select("seed").distinct().count() == 20
