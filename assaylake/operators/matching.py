@@ -57,6 +57,32 @@ def match_features(features: DataFrame, index: DataFrame, overrides: DataFrame |
     return out.select("feature", "hmdb_id", F.coalesce("match_method", F.lit("unmatched")).alias("match_method"), F.count("hmdb_id").over(Window.partitionBy("feature")).alias("n_hmdb_ids"))
 
 
+def audit_unlinked(markers: DataFrame, linked: DataFrame, features: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The rows of ``markers`` (marker, hmdb_id, ...) without a code, or with one that is not ``linked`` (hmdb_id), and what their names match.
+
+    Adds ``matched_features``, the features of the same exact, else loose, name, each compared with and without its
+    accession tag, and ``name_index_accessions``, the accessions of that name in the index; joined by semicolons,
+    sorted, '' for none. Markers whose code is NULL are never linked.
+    """
+    rows = markers.join(linked.select("hmdb_id").where("hmdb_id is not null").distinct(), "hmdb_id", "left_anti")
+    bare = lambda c: F.regexp_replace(c, "[^A-Z0-9]+", "")
+    f = features.where("feature is not null").select("feature").distinct().withColumn("norm", normal_name(F.col("feature")))
+    tag = accession_tag(F.col("norm"))
+    short = F.when(tag.isNotNull(), F.regexp_replace("norm", r"\.*HMDB[0-9]+$", "")).otherwise(F.col("norm"))
+    exact = f.select("feature", F.explode(F.array_distinct(F.array("norm", short))).alias("norm")).where("norm <> ''")
+    near = f.select("feature", F.explode(F.array_distinct(F.array(bare(F.col("norm")), bare(short)))).alias("loose")).where("loose <> ''")
+    n = rows.where("marker is not null").select("marker").distinct().withColumn("norm", normal_name(F.col("marker"))).withColumn("loose", bare(F.col("norm")))
+    listed = lambda df, c: df.groupBy("marker").agg(F.array_join(F.array_sort(F.collect_set(c)), ";").alias("_" + c))
+    hit = n.join(exact, "norm").select("marker", "feature")
+    rest = n.join(hit.select("marker").distinct(), "marker", "left_anti").join(near, "loose").select("marker", "feature")
+    out = rows.join(listed(hit.unionByName(rest), "feature"), "marker", "left")
+    if index is None:
+        out = out.withColumn("_accession", F.lit(""))
+    else:
+        out = out.join(listed(n.where("norm <> ''").join(index.withColumnRenamed("name", "norm"), "norm").select("marker", "accession"), "accession"), "marker", "left")
+    return out.select(*markers.columns, F.coalesce("_feature", F.lit("")).alias("matched_features"), F.coalesce("_accession", F.lit("")).alias("name_index_accessions"))
+
+
 def link_pathways(matched: DataFrame, edges: DataFrame) -> DataFrame:
     """(feature, hmdb_id, smp_id) over accession edges (smp_id, hmdb_id)."""
     return matched.where("hmdb_id is not null").select("feature", "hmdb_id").join(edges.select("smp_id", "hmdb_id").distinct(), "hmdb_id").select("feature", "hmdb_id", "smp_id").distinct()

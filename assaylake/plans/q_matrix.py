@@ -316,6 +316,14 @@ def j17(spark, d):
     return table(spark, d, "biomarker_attachments").where("hmdb_id is not null").select("hmdb_id").join(table(spark, d, "hmdb_metabolites").select(F.col("accession").alias("hmdb_id")), "hmdb_id", "left_anti").distinct()
 
 
+@R.add("J17_unlinked_audit")
+def j17b(spark, d):
+    """Metabolites as markers that no feature is linked to, and the features that have their name all the same."""
+    f, entries = table(spark, d, "feature_to_hmdb"), table(spark, d, "hmdb_metabolites")
+    markers = entries.select(F.upper(F.trim("accession")).alias("hmdb_id"), F.col("name").alias("marker"))
+    return M.audit_unlinked(markers, f.select(F.upper(F.trim("hmdb_id")).alias("hmdb_id")), f, M.name_index(entries))
+
+
 _COVSETS = f"cov AS (SELECT coverage_id, matched_metabolites FROM (SELECT *, row_number() OVER (PARTITION BY coverage_id ORDER BY loaded_at DESC) AS v FROM pathway_coverage WHERE coverage_id IS NOT NULL) WHERE v = 1), sets AS (SELECT DISTINCT coverage_id AS k, m FROM (SELECT coverage_id, unnest(matched_metabolites) AS m FROM cov) WHERE m IS NOT NULL)"
 
 

@@ -179,10 +179,11 @@ def read_compound_xml(spark: SparkSession, path: str, row_tag: str = "metabolite
     return df.where(F.trim("accession").rlike(r"^HMDB\d+$")).select(F.trim("accession").alias("accession"), F.trim("name").alias("name"), F.coalesce("synonyms.synonym", F.array().cast("array<string>")).alias("synonyms"))
 
 
-def parse_diseases(df: DataFrame) -> DataFrame:
+def parse_diseases(df: DataFrame, coded: bool = True) -> DataFrame:
     """(disease, marker, direction, hmdb_ids array, smp_id) of a table with marker and code lists.
 
     Lists are cut at semicolons outside brackets and zipped by position, the shorter one wins; 'none' entries are left out.
+    With ``coded`` false, the markers without a code instead, for the audit of J17.
     """
     roles = N.header_role(df.columns, {"disease": ["disease"], "markers": ["biochemical markers"], "codes": ["hmdb codes"], "smp": ["smpdb code"]})
     markers, codes = N.split_outside(col(roles["markers"])), N.split_outside(col(roles["codes"]))
@@ -191,7 +192,7 @@ def parse_diseases(df: DataFrame) -> DataFrame:
     rows = df.select(F.trim(col(roles["disease"])).alias("disease"), F.nullif(F.regexp_extract(col(roles["smp"]), r"(SMP\d+)", 1), F.lit("")).alias("smp_id"), F.explode(pairs).alias("p"))
     p = rows.select("disease", "smp_id", F.col("p")["m"].alias("m"), F.col("p")["c"].alias("c")).where(F.lower("m") != "none")
     ids = F.expr(r"regexp_extract_all(c, '(HMDB\\d+)', 1)")
-    return p.select("disease", N.marker_name(F.col("m")).alias("marker"), N.marker_direction(F.col("m")).alias("direction"), ids.alias("hmdb_ids"), "smp_id").where(F.size("hmdb_ids") > 0)
+    return p.select("disease", N.marker_name(F.col("m")).alias("marker"), N.marker_direction(F.col("m")).alias("direction"), ids.alias("hmdb_ids"), "smp_id").where((F.size("hmdb_ids") > 0) == F.lit(coded))
 
 
 def read_attachments(spark: SparkSession, path: str | None) -> DataFrame:

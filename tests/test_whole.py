@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import draws, effects, evaluate
+from assaylake.operators import draws, effects, evaluate, matching
 from assaylake.plans import q_evaluate, q_filters, q_matrix, q_more, q_names
+from assaylake.sources import readers
 from oracle import assert_same
 
 NAMES = ["α-D-Glucose", "alpha-D-Glucose", "Citrulline ", "4‑hydroxy–X", "γ‐GABA", "Ｃortisol.HMDB0000063", "µ-Thing.HMDB0000099", "20:3ω6", "20:3W6", "ϑ-acid", "plain", "Δ", None]
@@ -120,3 +121,24 @@ def test_twenty_splits(spark, sf):
     name = "S20_repeated_splits_whole"
     assert_same(spark, sf, q_more.queries()[name], q_more.oracle_sql()[name])
     assert q_more.queries()[name](spark, sf).select("seed").distinct().count() == 20
+
+
+def test_audit_of_unlinked_markers(spark, tmp_path):
+    df = spark.createDataFrame([("D1", "Octanoyl-carnitine ↑; Glucose ↓; α-Thing*; Zed; Glucose", "(no HMDB entry found); Glucose (HMDB0000122); (no HMDB entry found); none; (no HMDB entry found)", None)], "Disease string, Biochemical_Markers string, `HMDB codes of named metabolites` string, `SMPDB code (SMP)` string")
+    bare = readers.parse_diseases(df, coded=False).withColumn("hmdb_id", F.lit(None).cast("string"))
+    markers = bare.select("disease", "marker", "direction", "hmdb_id").unionByName(spark.createDataFrame([("D2", "Glucose", "up", "HMDB0000122"), ("D2", "Lactate", "up", "HMDB0000999")], "disease string, marker string, direction string, hmdb_id string"))
+    features = spark.createDataFrame([(x,) for x in ("octanoyl carnitine.HMDB0000215", "Octanoylcarnitine", "Alpha-thing.HMDB0000007", "alpha thing", "glucose", "Glucose", None)], "feature string")
+    index = matching.name_index(spark.createDataFrame([("HMDB0000122", "Glucose", None), ("HMDB0000123", "X", ["glucose"])], "accession string, name string, synonyms array<string>"))
+    out = matching.audit_unlinked(markers, spark.createDataFrame([("HMDB0000122",), (None,)], "hmdb_id string"), features, index)
+    got = {(r.disease, r.marker, r.direction, r.matched_features, r.name_index_accessions) for r in out.collect()}
+    assert got == {
+        ("D1", "Octanoyl-carnitine", "up", "Octanoylcarnitine;octanoyl carnitine.HMDB0000215", ""),
+        ("D1", "α-Thing", "", "Alpha-thing.HMDB0000007", ""),
+        ("D1", "Zed", "", "", ""),
+        ("D1", "Glucose", "", "Glucose;glucose", "HMDB0000122;HMDB0000123"),
+        ("D2", "Lactate", "up", "", ""),
+    }
+    spark.createDataFrame([("A", "hmdb0000001 "), ("α-D-Glucose", None), ("4‑hydroxy-X", None)], "feature string, hmdb_id string").write.parquet(f"{tmp_path}/feature_to_hmdb.parquet")
+    spark.createDataFrame(ENTRIES, "accession string, name string, synonyms array<string>").write.parquet(f"{tmp_path}/hmdb_metabolites.parquet")
+    got = {r.hmdb_id: r.matched_features for r in q_matrix.queries()["J17_unlinked_audit"](spark, str(tmp_path)).collect()}
+    assert got == {"HMDB0000002": "", "HMDB0000003": "4‑hydroxy-X", "HMDB0000004": "", "HMDB0000005": ""}
