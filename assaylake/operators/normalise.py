@@ -188,7 +188,7 @@ def drift_factors(df: DataFrame, share: float = 0.5, least_mean: float = 0.1, ou
 
 
 def drift_correct(df: DataFrame, low: float = 0.5, high: float = 2.0, join: str = "interpolate", **how: object) -> DataFrame:
-    """Multiply by the factor interpolated between controls (or of the nearest control), limited to [low, high]."""
+    """Q1: multiply by the factor interpolated between controls (or of the nearest control), limited to [low, high]; Q1c is ``drift_correct_shared``."""
     f = drift_factors(df, **how)
     d = df.join(f, ["batch", "feature", "position"], "left")
     d = (interpolate if join == "interpolate" else nearest)(d, ["batch", "feature"], "position", "factor", "use")
@@ -197,6 +197,39 @@ def drift_correct(df: DataFrame, low: float = 0.5, high: float = 2.0, join: str
     return d.withColumn("value", F.coalesce("cleaned", "value") * factor).drop("factor", "cleaned", "use")
 
 
+def drift_correct_shared(df: DataFrame, share: float = 0.5, top: float = 0.1, qc: str = "is_qc") -> DataFrame:
+    """Drift is fitted per batch on the features with a mean of the controls at or above its quantile 1 - ``top``.
+
+    Their factor is mean / smooth (1 where the smooth isn't positive) at a control, and that of the nearest control elsewhere;
+    the share is 1 below 10 controls and at least 0.5 below 20. All other features of the batch get, per position, the median
+    factor of the whole table, in which they count as 1. Batches with fewer than two controls stay as they are. Controls
+    without a value are left out of the fit.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        y, n = pdf["value"].to_numpy(dtype=float), len(pdf)
+        smooth = lowess(pdf["position"].to_numpy(dtype=float), y, 1.0 if n < 10 else max(share, 0.5) if n < 20 else share)
+        factor = np.divide(y.mean(), smooth, out=np.ones(n), where=smooth > 0)
+        return pd.DataFrame({"batch": pdf["batch"], "feature": pdf["feature"], "position": pdf["position"], "factor": factor})
+
+    types, cell = dict(df.dtypes), ["batch", "feature", "position"]
+    controls = df.where(F.col(qc))
+    enough = controls.groupBy("batch").agg(F.count_distinct("position").alias("n")).where("n >= 2")
+    mean = controls.groupBy("batch", "feature").agg(F.avg("value").alias("m")).where("m is not null").join(enough.select("batch"), "batch", "left_semi")
+    cut = mean.groupBy("batch").agg(F.percentile("m", F.lit(1 - top)).alias("cut"))
+    fitted = mean.join(cut, "batch").where("m >= cut").select("batch", "feature")
+    rows = controls.where("value is not null").select(*cell, "value").join(fitted, ["batch", "feature"], "left_semi")
+    at_controls = rows.groupBy("batch", "feature").applyInPandas(fit, f"batch {types['batch']}, feature string, position {types['position']}, factor double")
+    places = df.select("batch", "position").distinct()
+    dense = nearest(fitted.join(places, "batch").join(at_controls, cell, "left"), ["batch", "feature"], "position", "factor", "use").select(*cell, "use")
+    counts = df.groupBy("batch").agg(F.count_distinct("feature").alias("every")).join(fitted.groupBy("batch").agg(F.count(F.lit(1)).alias("n")), "batch")
+    rest = places.join(counts.where("every > n"), "batch").select("batch", "position", F.lit(1.0).alias("use"), (F.col("every") - F.col("n")).alias("times"))
+    shared = dense.select("batch", "position", "use", F.lit(1).cast("long").alias("times")).unionByName(rest).groupBy("batch", "position").agg(F.percentile("use", F.lit(0.5), F.col("times")).alias("shared"))
+    out = df.join(dense, cell, "left").join(shared, ["batch", "position"], "left")
+    return out.withColumn("value", F.col("value") * F.coalesce("use", "shared", F.lit(1.0))).select(df.columns)
+
+
 def combat(df: DataFrame, gamma: float = 1.0, floor_at_zero: bool = True, tolerance: float = 1e-4) -> DataFrame:
     """Q22: empirical Bayes adjustment of batch location and scale (Johnson, Li and Rabinovic 2007).
 

@@ -151,6 +151,11 @@ def q1b(spark, d):
     return X.drift_correct(_ordered(spark, d)).select("batch", "record_id", "feature", "value")
 
 
+@R.add("Q01c_drift_shared")
+def q1c(spark, d):
+    return X.drift_correct_shared(_ordered(spark, d)).select("batch", "record_id", "feature", "value")
+
+
 @R.add("Q22_combat")
 def q22(spark, d):
     return X.combat(matrix(spark, d).withColumn("value", F.log10("value")), floor_at_zero=False).select("feature", "sample", "batch", "value")

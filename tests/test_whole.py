@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import draws, effects, evaluate, matching
+from assaylake.operators import draws, effects, evaluate, matching, normalise
 from assaylake.plans import q_evaluate, q_filters, q_matrix, q_more, q_names
 from assaylake.sources import readers
 from oracle import assert_same
@@ -142,3 +142,26 @@ def test_audit_of_unlinked_markers(spark, tmp_path):
     spark.createDataFrame(ENTRIES, "accession string, name string, synonyms array<string>").write.parquet(f"{tmp_path}/hmdb_metabolites.parquet")
     got = {r.hmdb_id: r.matched_features for r in q_matrix.queries()["J17_unlinked_audit"](spark, str(tmp_path)).collect()}
     assert got == {"HMDB0000002": "", "HMDB0000003": "4‑hydroxy-X", "HMDB0000004": "", "HMDB0000005": ""}
+
+
+def test_shared_drift_equals_brute_force(spark):
+    rng = np.random.default_rng(15)
+    rows, want = [], {}
+    for batch, size, step in ((1, 30, 4), (2, 36, 3), (3, 10, 10), (4, 66, 3)):
+        qc = np.arange(size) % step == 0
+        v = (np.arange(8)[:, None] + 3) * (1 + 0.02 * np.arange(size)) * rng.uniform(0.9, 1.1, (8, size))
+        rows += [(f"f{j}", batch, i, bool(qc[i]), float(v[j, i])) for j in range(8) for i in range(size)]
+        factor, x = np.ones((8, size)), np.flatnonzero(qc)
+        if len(x) >= 2:
+            means = v[:, qc].mean(axis=1)
+            high = means >= np.quantile(means, 0.3)
+            assert 4 < high.sum() < 8
+            for j in np.flatnonzero(high):
+                smooth = normalise.lowess(x.astype(float), v[j, qc], 1.0 if len(x) < 10 else 0.5 if len(x) < 20 else 0.3)
+                at = means[j] / np.where(smooth > 0, smooth, means[j])
+                factor[j] = [at[np.argmin(abs(x - i))] for i in range(size)]
+            factor[~high] = np.median(factor, axis=0)
+        want |= {(f"f{j}", batch, i): v[j, i] * factor[j, i] for j in range(8) for i in range(size)}
+    df = spark.createDataFrame(rows, "feature string, batch int, position int, is_qc boolean, value double")
+    got = {(r.feature, r.batch, r.position): r.value for r in normalise.drift_correct_shared(df, 0.3, 0.7).collect()}
+    assert got == pytest.approx(want)
