@@ -7,16 +7,17 @@ sample. Scoring streams the rows through numpy batches.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators.effects import nearest_neighbours
 
-#: Rows that a tree of the isolation forest is grown on, as in the paper; trees times this bounds the sample.
+#: Rows that a tree of the isolation forest is grown on, as in the paper; trees times this bounds what reaches the driver.
 TREE_ROWS = 256
 
 
@@ -104,22 +105,33 @@ def _mean_path(n: np.ndarray | float) -> np.ndarray:
         return np.where(n > 2, 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_forest(vectors: DataFrame, fit: Column | str, trees: int = 100, rows: int = TREE_ROWS, seed: int = 42) -> DataFrame:
+def tree_rows(vectors: DataFrame, trees: int, rows: int = TREE_ROWS, seed: int = 42) -> DataFrame:
+    """(tree, rank, id, vector): per tree the ``rows`` rows with the smallest hashes of tree and id among all."""
+    # A share that holds the smallest ``rows`` hashes with ten standard deviations to spare bounds what is ranked.
+    share = (rows + 10 * math.sqrt(rows) + 100) / max(1, vectors.count())
+    u = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, "id"), 11) / F.lit(float(1 << 53))
+    near = vectors.select("id", "vector", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) <= share)).alias("tree"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(u(F.col("tree")), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= rows).select("tree", "rank", "id", "vector")
+
+
+def isolation_forest(vectors: DataFrame, fit: Column | str, trees: int = 200, rows: int = TREE_ROWS, seed: int = 42) -> DataFrame:
     """Minus 2 ** (- mean path / expected path) (Liu, Ting and Zhou 2008).
 
-    Each tree is grown on ``rows`` rows out of a sample of at most 16 * rows, which is drawn by hash and is all that
-    reaches the driver, whatever the size of the table.
+    Each tree is grown on its own ``rows`` rows, those with the smallest hashes of tree and id among all fitted rows;
+    trees * rows vectors at most reach the driver, whatever the size of the table.
     """
-    draw = vectors.where(fit).where("vector is not null").orderBy(F.xxhash64(F.lit(seed), "id")).limit(16 * rows).select("vector").toPandas()
+    draw = tree_rows(vectors.where(fit).where("vector is not null"), trees, rows, seed).orderBy("tree", "rank").select("tree", "vector").toPandas()
     if not len(draw):
         raise ValueError("no vectors to fit")
     data, rng = np.stack(draw["vector"].to_numpy()).astype(np.float64), np.random.default_rng(seed)
-    size = min(rows, len(data))
+    own = [np.flatnonzero(draw["tree"].to_numpy() == t) for t in range(trees)]
+    size = len(own[0])
     depth = max(1, math.ceil(math.log2(max(size, 2))))
     forest = []
-    for _ in range(trees):
+    for t in range(trees):
         nodes: list[tuple[int, float, int, int, float]] = []
-        todo = [(rng.choice(len(data), size, replace=False), 0, -1, 0)]
+        todo = [(own[t], 0, -1, 0)]
         while todo:
             at, level, parent, side = todo.pop()
             me = len(nodes)
@@ -187,7 +199,7 @@ def one_class_svm(vectors: DataFrame, fit: Column | str, nu: float = 0.05, gamma
     """Decision value of a one-class SVM with RBF kernel (Schoelkopf et al. 2001).
 
     The dual is solved by exchanges of the most violating pair on a hash-drawn sample of at most ``most_rows`` rows,
-    which is all that reaches the driver; gamma defaults to 1 / (dimensions * variance).
+    which is all that reaches the driver; a warning tells if ``steps`` exchanges were not enough. gamma defaults to 1 / (dimensions * variance).
     """
     draw = vectors.where(fit).where("vector is not null").orderBy(F.xxhash64(F.lit(seed), "id")).limit(most_rows).select("vector").toPandas()
     if not len(draw):
@@ -203,14 +215,18 @@ def one_class_svm(vectors: DataFrame, fit: Column | str, nu: float = 0.05, gamma
     if full < n:
         a[full] = 1 - full * most
     grad = kernel @ a
+    gap = np.inf
     for _ in range(steps):
         up, down = np.where(a < most - 1e-12, grad, np.inf), np.where(a > 1e-12, grad, -np.inf)
         i, j = int(np.argmin(up)), int(np.argmax(down))
-        if down[j] - up[i] < 1e-6:
+        gap = down[j] - up[i]
+        if gap < 1e-6:
             break
         step = min((grad[j] - grad[i]) / max(2 - 2 * kernel[i, j], 1e-12), most - a[i], a[j])
         a[i], a[j] = a[i] + step, a[j] - step
         grad += step * (kernel[:, i] - kernel[:, j])
+    else:
+        warnings.warn(f"one-class SVM not converged after {steps} exchanges: violation {gap:.3g} of 1e-6 allowed", RuntimeWarning, stacklevel=2)
     inner = (a > 1e-9) & (a < most - 1e-9)
     rho = float(grad[inner].mean()) if inner.any() else float((grad[a > 1e-9].max() + grad[a < most - 1e-9].min()) / 2) if (a < most - 1e-9).any() else float(grad.max())
     sv = a > 1e-9

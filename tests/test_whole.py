@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import draws, effects, evaluate, matching, normalise
+from assaylake.operators import draws, effects, evaluate, matching, normalise, scorers
 from assaylake.plans import q_evaluate, q_filters, q_matrix, q_more, q_names
 from assaylake.sources import readers
 from oracle import assert_same
@@ -165,3 +165,22 @@ def test_shared_drift_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "feature string, batch int, position int, is_qc boolean, value double")
     got = {(r.feature, r.batch, r.position): r.value for r in normalise.drift_correct_shared(df, 0.3, 0.7).collect()}
     assert got == pytest.approx(want)
+
+
+def test_trees_draw_from_all_rows(spark):
+    df = spark.range(4000).select("id", F.array(F.col("id").cast("double")).alias("vector"))
+    got = {}
+    for r in scorers.tree_rows(df, 30, 8).collect():
+        assert r.vector == [float(r.id)]
+        got.setdefault(r.tree, set()).add(r.id)
+    h = {t: sorted((x % 2**64 >> 11, i) for i, x in df.select("id", F.xxhash64(F.lit(42), F.lit(t), "id")).collect()) for t in (0, 29)}
+    assert all({i for _, i in h[t][:8]} == got[t] for t in h) and all(len(v) == 8 for v in got.values())
+    # One pool of 16 trees' rows could not give as many.
+    assert len(set.union(*got.values())) > 16 * 8
+
+
+def test_svm_tells_that_it_did_not_converge(spark):
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id int, vector array<double>")
+    with pytest.warns(RuntimeWarning, match="not converged after 3 exchanges"):
+        scorers.one_class_svm(df, "true", steps=3)
