@@ -40,3 +40,19 @@ def latest_version(df: DataFrame, key: str, version: str, columns: Sequence[str]
     best = F.max(F.struct(col(version).alias("_v"), *[col(c) for c in rest])).alias("_best")
     out = df.where(col(key).isNotNull()).groupBy(col(key)).agg(best)
     return out.select(col(key), *[F.col("_best").getField(c).alias(c) for c in rest], *([F.col("_best._v").alias(version)] if version in columns else []))
+
+
+#: A key is hot from this share of all rows on, so at most 1 / HOT_SHARE keys are hot whatever the data.
+HOT_SHARE = 1e-3
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], least: int, share: float = HOT_SHARE, per_salt: int | None = None) -> DataFrame:
+    """(keys..., n, salts) of the keys that hold more than ``least`` rows and more than ``share`` of all rows.
+
+    Never more than 1 / ``share`` rows, so the result may be broadcast. ``salts`` grows with the key's rows, one for every
+    ``per_salt`` (by default ``least``) of them. NULL is a key like any other.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") > least) & (F.col("n") > F.col("_total") * share)).drop("_total")
+    return hot.withColumn("salts", F.ceil(F.col("n") / F.lit(per_salt or max(least, 1))).cast("int"))
