@@ -41,6 +41,34 @@ def test_mapping(spark, shard_entries):
     assert M.map_to_canonical(values.limit(0), "entry_id", "feature", "hmdb_id", canonical, "accession", "name", "synonyms").count() == 0
 
 
+@pytest.mark.parametrize("shard_entries", [1, 2, 50_000])
+def test_mapping_keeps_rows_and_answers_whatever_the_shards(spark, shard_entries):
+    listed = [("HMDB0000001", "gudbushotamide", None), ("HMDB0000002", "rolmabmupic acid", ["ROL-668"]), ("HMDB0000003", "gudbushotamide", ["twin"])]
+    canonical = spark.createDataFrame([*listed, ("HMDB0000004", "kashotpinic acid", [])], "accession string, name string, synonyms array<string>")
+    rows = [(7, "kashotpinic acid rolmabmupic acid", None), (7, "kashotpinic acid rolmabmupic acid", None), (None, "rolmabmupic acid", None), (None, "rolmabmupic acid", None), (3, "kashotpinic acid sarcosine rolmabmupic acid", None)]
+    rows += [(4, "gudbushotamide", None), (5, "twin", None), (6, "rolmabmupicc acid", None), (8, "kashotpinic acid", "hmdb 2"), (9, "peak 1", "hmdb 2"), (10, "acid, kashotpinic, hmdb2", None), (11, "acid kashotpinic", None)]
+    values = spark.createDataFrame(rows, "entry_id int, feature string, hmdb_id string")
+    got = M.map_to_canonical(values, "entry_id", "feature", "hmdb_id", canonical, "accession", "name", "synonyms", shard_entries, hot_rows=1)
+    tie = "UNMATCHED"
+    want = [(7, tie), (7, tie), (None, "2"), (None, "2"), (3, tie), (4, tie), (5, "3"), (6, "2"), (8, "4"), (9, "2"), (10, "2"), (11, "4")]
+    assert Counter((r.entry_id, r.accession) for r in got.collect()) == Counter((i, k if k == tie else f"HMDB000000{k}") for i, k in want)
+
+
+PLACES = [("ams", "Amsterdam", ["Mokum"]), ("zrh", "Zürich", []), ("mow", "Москва", None), ("tyo", "東京", None), ("que", "Québec", None), ("acm", "Acme Incorporated", None), ("sam", "manager account senior", None), ("se2", "software engineer 2", None), ("se3", "software engineer 3", None), ("nyc", "New York City", None)]
+TYPED = [
+    ("Zurich", "zrh"), ("ZÜRICH ", "zrh"), ("Amsterdm", "ams"), ("City of Amsterdam", "ams"), ("Amsterdam (NL)", "ams"), ("Acme Inc", "acm"), ("quebec city", "que"), ("Москва", "mow"), ("г. москва", "mow"), ("東京", "tyo"), ("senior account manager", "sam"),
+    ("Sr. Account Manager", "UNMATCHED"), ("senior acount manager", "sam"), ("engineer software 2", "se2"), ("software engineer 4", "UNMATCHED"), ("newyork city", "nyc"), ("Rotterdam", "UNMATCHED"), ("", "UNMATCHED"), (None, "UNMATCHED"), ("mokum", "ams"), ("x " * 4000 + "Amsterdam", "ams"),
+]
+
+
+@pytest.mark.parametrize("shard_entries", [3, 50_000])
+def test_mapping_of_any_names(spark, shard_entries):
+    canonical = spark.createDataFrame(PLACES, "id string, name string, aliases array<string>")
+    values = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TYPED)], "row int, place string")
+    got = {r.row: r.id for r in M.map_to_canonical(values, "row", "place", None, canonical, "id", "name", "aliases", shard_entries, vocabulary=M.Vocabulary()).collect()}
+    assert {TYPED[i][0]: k for i, k in got.items()} == dict(TYPED)
+
+
 def plain_edits(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
