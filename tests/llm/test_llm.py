@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.llm import mapping as M
@@ -98,11 +99,27 @@ def test_top_n_with_ties_bands_and_hot_group(spark):
         if g is not None and s is not None and s == s:
             groups[g].append((-s, t is None, t or "", i))
     want = Counter((g, i) for g, v in groups.items() for *_, i in sorted(v)[:5])
-    for how in ({}, {"band_shares": (0.02, 0.2, 0.6)}, {"large_share": 0.9}, {"large_share": 1e-9}):
+    for how in ({}, {"band_shares": (0.02, 0.2, 0.6)}, {"bucket_bits": 6}, {"bucket_bits": 10, "band_shares": (0.3,)}):
         assert Counter((r.g, r.id) for r in topn.top_n_per_group(df, "g", "s", ["t", "id"], 5, **how).collect()) == want
     assert topn.top_n_per_group(df.limit(0), "g", "s", ["t", "id"], 5).count() == 0
 
 
+def test_top_n_beyond_a_thousand_with_a_hot_group(spark):
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 else f"g{i % 50}", float(rng.randint(0, 900))) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id int, g string, s double").repartition(3)
+    groups = defaultdict(list)
+    for i, g, s in rows:
+        groups[g].append((-s, i))
+    before = spark.conf.get(topn.LIMIT)
+    got = topn.top_n_per_group(df, "g", "s", ["id"], 1500)
+    assert spark.conf.get(topn.LIMIT) == before
+    assert {(r.g, r.id, r["rank"]) for r in got.collect()} == {(g, i, k + 1) for g, v in groups.items() for k, (_, i) in enumerate(sorted(v)[:1500])}
+    with topn._limits_up_to(spark, 1500):
+        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id"))).where("r <= 1500")
+        assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 # Percentiles
 
 
