@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.common import clean, col
+from assaylake.common import HOT_SHARE, clean, col
 from assaylake.session import Scratch
 
 #: Sub-intervals per pass; 32 are five halvings at once.
 WAYS = 32
-#: Intervals are broadcast to the rows up to this many groups; beyond, they are joined by shuffle.
-BROADCAST_GROUPS = 200_000
-#: Parts that a group's rows are spread over, so that no task holds a whole hot group.
-SALTS = 8
+#: Intervals are broadcast to the rows up to this many, counted before every pass (some 15 MB); beyond, only those of hot groups
+#: are, and the others are joined by shuffle.
+BROADCAST_INTERVALS = 100_000
+#: A group is hot beyond this many rows and HOT_SHARE of all rows, so at most 1 / HOT_SHARE groups are.
+HOT_ROWS = 1_000_000
 #: Infinite values take part as the largest finite double.
 LARGEST = 1.7976931348623157e308
 
@@ -31,7 +32,8 @@ def group_percentiles(
     probabilities: Sequence[float],
     max_rank_error: float = 0.0,
     ways: int = WAYS,
-    broadcast_groups: int = BROADCAST_GROUPS,
+    broadcast_groups: int = BROADCAST_INTERVALS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Percentiles of ``value`` per group: (groups..., n, p0, p1, ...) in the order of ``probabilities``.
 
@@ -51,14 +53,16 @@ def group_percentiles(
     spark = df.sparkSession
     scratch = Scratch(spark)
     keys = [f"g{k}" for k in range(len(groups))]
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    inside = lambda r, s: r.alias("r").join(s.alias("s"), [*same, F.col("v").between(F.col("lo"), F.col("hi"))]).select(*[f"r.{k}" for k in keys], "lo", "hi", "v")
     rows = (
         df.select(*[col(g).alias(k) for g, k in zip(groups, keys, strict=True)], clean(col(value).cast("double")).alias("v"))
         .where("v is not null")
         .withColumn("v", _finite(F.col("v")))
     )
-    # One shuffle brings a group's rows into few tasks, so that later counts combine before theirs.
-    rows = scratch.write(rows.repartition(*keys, F.pmod(F.xxhash64("v"), F.lit(SALTS))), "rows")
+    # One shuffle brings a group's rows into few tasks, so that later counts combine before theirs; adaptive execution
+    # splits a hot group, also one of equal values, by its size.
+    rows = scratch.write(spark.sql(f"SELECT /*+ REBALANCE({', '.join(keys)}) */ * FROM {{rows}}", rows=rows), "rows")
     lows = [F.floor(F.col("n") * F.lit(0) + F.lit(p) * (F.col("n") - 1)).cast("long") for p in probabilities]
     ranks = F.array_sort(F.array_distinct(F.array(*[x for lo in lows for x in (lo, F.least(lo + 1, F.col("n") - 1))])))
     state = scratch.write(
@@ -66,18 +70,26 @@ def group_percentiles(
         "state0",
     )
     resolved = (F.col("lo") == F.col("hi")) | (F.col("inside") <= F.col("n") * F.lit(max_rank_error))
-    small = state.limit(broadcast_groups + 1).count() <= broadcast_groups
+    total = state.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(hot_rows, total * HOT_SHARE)
+    hot_groups = F.broadcast(state.where(is_hot).select(*[F.col(k).alias(f"h_{k}") for k in keys]))
     done, step = [state.where(resolved)], 0
     while True:
         open_ = state.where(~resolved)
         if open_.isEmpty():
             break
         step += 1
-        s = (F.broadcast(open_) if small else open_).alias("s")
-        hit = rows.alias("r").join(s, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("v").between(F.col("lo"), F.col("hi"))])
+        small = open_.limit(broadcast_groups + 1).count() <= broadcast_groups
+        if small:
+            hit = inside(rows, F.broadcast(open_))
+        else:
+            cold = rows.join(hot_groups, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys], "left_anti")
+            hit = inside(rows, F.broadcast(open_.where(is_hot))).unionByName(inside(cold, open_.where(~is_hot)))
         part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * ways), F.lit(ways - 1)).cast("int")
-        names = [f"s.{k}" for k in keys]
-        counted = hit.groupBy(*names, "lo", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first"), F.max("v").alias("last"), F.first("n").alias("n"), F.first("below").alias("below"), F.first("ranks").alias("ranks"))
+        # Counts, smallest and largest values only are summed up, which hashing can do; the rest of the state joins the sums.
+        counted = hit.groupBy(*keys, "lo", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first"), F.max("v").alias("last")).alias("r")
+        own = open_.select(*keys, F.col("lo").alias("own_lo"), "n", "below", "ranks").alias("s")
+        counted = counted.join(F.broadcast(own) if small else own, [*same, F.col("lo") == F.col("own_lo")]).select(*[f"r.{k}" for k in keys], "lo", "part", "c", "first", "last", "n", "below", "ranks")
         before = Window.partitionBy(*keys, "lo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         at = F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0))
         state = counted.withColumn("at", at).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("at")) & (r < F.col("at") + F.col("c")))).where(F.size("ranks") > 0)
@@ -101,11 +113,12 @@ def period_counts(df: DataFrame, groups: Sequence[str], value: str, period: str,
     """Mergeable state: rows per group, period and grid cell (cell = floor(value / width)).
 
     States of any partitions, periods or loads are combined by ``unionAll`` alone, since their counts
-    add. Missing and infinite values are left out; an empty input gives an empty state.
+    add. Missing values are left out; infinite ones and those beyond 9e18 cells count in the outermost cells, so
+    that ranks stay right; an empty input gives an empty state.
     """
     v = clean(col(value).cast("double"))
-    ok = df.where(v.isNotNull() & (F.abs(v) < F.lit(9e18 * width)))
-    return ok.groupBy(*[col(g) for g in groups], col(period), F.floor(v / F.lit(width)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cell = F.floor(F.greatest(F.least(v / F.lit(width), F.lit(9e18)), F.lit(-9e18)))
+    return df.where(v.isNotNull()).groupBy(*[col(g) for g in groups], col(period), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def percentiles_from_counts(state: DataFrame, groups: Sequence[str], probabilities: Sequence[float], width: float) -> DataFrame:

@@ -137,6 +137,14 @@ def test_percentiles_equal_numpy(spark, broadcast_groups):
             assert np.allclose([got[k][f"p{i}"] for i in range(4)], np.quantile(x, [0, 0.5, 0.95, 1]), rtol=1e-9), k
     assert (got["inf"].p0, got["inf"].p1, got["inf"].p3) == (-np.inf, 1.5, np.inf)
     assert percentiles.group_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    hot = percentiles.group_percentiles(df, ["g"], "v", [0.5, 0.95], broadcast_groups=broadcast_groups, hot_rows=100)
+    assert all(np.allclose([r.p0, r.p1], np.quantile(data[r.g], [0.5, 0.95]), rtol=1e-9) for r in hot.collect() if r.g in ("n", "hot", "two", "exp"))
+
+
+def test_extreme_values_keep_ranks_of_states(spark):
+    df = spark.createDataFrame([("a", 1, v) for v in (float("-inf"), 1.0, 2.0, 1e300, float("inf"))], "g string, day int, v double")
+    r = percentiles.percentiles_from_counts(percentiles.period_counts(df, ["g"], "v", "day", 0.5), ["g"], [0.25, 0.5], 0.5).first()
+    assert (r.n, r.p0, r.p1) == (5, 1.25, 2.25)
 
 
 def test_states_of_days_combine(spark):
