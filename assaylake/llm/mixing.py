@@ -50,16 +50,36 @@ def draw_mix(sized: DataFrame, rates: DataFrame, row_id: str, source: str = "sou
     return out.select(F.col("id").alias(row_id), F.col("source").alias(source), "copy", "n_tokens")
 
 
-def share_report(mix: DataFrame, rates: DataFrame, source: str = "source") -> DataFrame:
-    """Actual shares of a mix next to the targets, one row per source."""
+def share_report(mix: DataFrame, rates: DataFrame, source: str = "source", sized: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Actual shares of a mix next to the targets, one row per source that can be drawn from.
+
+    With ``sized`` and ``weights`` also one row for every other source: listed without tokens, listed with a share or cap that
+    draws nothing, not listed, or NULL. ``status`` tells which; ``share`` is the target spread over the sources that can be drawn from.
+    """
     drawn = mix.groupBy(col(source).alias("source")).agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("copy").alias("most_copies"))
-    both = rates.join(drawn, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
-    total = both.agg(F.sum("drawn_tokens")).first()[0] or 0
-    return both.withColumn("actual_share", F.col("drawn_tokens") / F.lit(max(total, 1)))
+    both = rates.join(drawn, "source", "left").withColumn("status", F.lit("drawn"))
+    if sized is not None and weights is not None:
+        have = sized.groupBy(col(source).alias("source")).agg(F.sum("n_tokens").alias("tokens"))
+        want = weights.groupBy(col(source).alias("source")).agg(F.max(clean(F.col("target_share").cast("double"))).alias("target_share"), F.max(F.col("max_repeats").cast("int")).alias("max_repeats"), F.lit(True).alias("listed"))
+        names = have.select("source").unionByName(want.select("source")).distinct().alias("n")
+        rest = names.join(rates.alias("r"), F.col("n.source") == F.col("r.source"), "left_anti")
+        h, w = have.alias("h"), want.alias("w")
+        rest = rest.join(h, F.col("n.source").eqNullSafe(F.col("h.source")), "left").join(w, F.col("n.source").eqNullSafe(F.col("w.source")), "left")
+        status = F.when(F.col("n.source").isNull(), "no source").when(F.col("listed").isNull(), "not listed").when(F.coalesce(F.col("h.tokens"), F.lit(0)) == 0, "no tokens").otherwise("share or cap draws nothing")
+        none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+        rest = rest.select("n.source", F.coalesce("h.tokens", F.lit(0).cast("long")).alias("tokens"), F.col("w.target_share"), none("share", "double"), F.lit(0.0).alias("rate"), F.col("w.max_repeats"), none("drawn_tokens", "long"), none("most_copies", "int"), status.alias("status"))
+        both = both.unionByName(rest)
+    both = both.withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
+    total = both.agg(F.sum("drawn_tokens").alias("_total"))
+    return both.crossJoin(F.broadcast(total)).withColumn("actual_share", F.col("drawn_tokens") / F.greatest("_total", F.lit(1))).drop("_total")
 
 
 def mix_sources(sized: DataFrame, weights: DataFrame, row_id: str, source: str = "source", total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(mix, rates); ``sized`` is written once, as both the totals and the draw read it."""
-    sized = Scratch(sized.sparkSession).write(sized, "sized")
+    """(mix, rates); both read ``sized`` several times, so it is best a written table, as ``sized_documents`` gives it."""
     rates = repetition_rates(sized, weights, source, total_tokens)
     return draw_mix(sized, rates, row_id, source, seed), rates
+
+
+def sized_documents(sized: DataFrame) -> DataFrame:
+    """Token counts as a written table: totals, draw and report read it, and counting tokens is dear."""
+    return Scratch(sized.sparkSession).write(sized, "sized")

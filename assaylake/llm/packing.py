@@ -15,9 +15,11 @@ from assaylake.common import col
 from assaylake.llm.tokens import TOKENIZERS, VOCABULARY, token_counter
 
 CAPACITY = 2048
-#: Containers that one block fills; a block's items are partitioned together, so this bounds memory
+#: Containers that one block fills; a block's items are partitioned together, so this and the number of items bound memory
 #: and time, and what a block leaves unused is shared by that many containers.
 BLOCK_CONTAINERS = 256
+#: Items of one block at most: each holds two rows of a number for every container, 64 MB in all at 256 containers.
+BLOCK_ITEMS = 16_384
 
 
 def difference(sizes: Sequence[int], m: int) -> np.ndarray:
@@ -46,8 +48,8 @@ def difference(sizes: Sequence[int], m: int) -> np.ndarray:
         order = np.argsort(-both, kind="stable")
         both = both[order]
         both -= both[-1]
-        place = np.empty(m, dtype=np.int64)
-        place[order] = np.arange(m)
+        place = np.empty(m, dtype=np.int32)
+        place[order] = np.arange(m, dtype=np.int32)
         merges.append((a, b, place))
         sums[node] = both
         heapq.heappush(heap, (-int(both[0]), node))
@@ -113,13 +115,13 @@ def fill(sizes: Sequence[int], capacity: int) -> tuple[np.ndarray, int]:
         m += 1 + tries // 4
 
 
-def pack(docs: DataFrame, row_id: str, text: str, capacity: int = CAPACITY, block_containers: int = BLOCK_CONTAINERS, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, row_id: str, text: str, capacity: int = CAPACITY, block_containers: int = BLOCK_CONTAINERS, block_items: int = BLOCK_ITEMS, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(row id, part, n_parts, start_token, n_tokens, container_id) for all documents.
 
     Containers hold at most ``capacity`` tokens. Only a document that is longer is split, into full
     containers of its own and a rest that is packed like any item. Items are packed in blocks of the rows
-    as they are read, without a shuffle, so a task holds one block at a time and wastes part of one
-    container at its end. Container ids name task, block and number, and are the same if the task is run again.
+    as they are read, without a shuffle, so a task holds one block of at most ``block_items`` items at a time and wastes part of one
+    container at the end of each block. Container ids name task, block and number, and are the same if the task is run again.
 
     Documents without tokens (NULL or empty text) need no container: one row with n_tokens 0 and a NULL
     container. Very long documents are split whatever their length; ties and repeated rows are items
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, row_id: str, text: str, capacity: int = CAPACITY, bloc
                 if rest:
                     items.append((i, full, n_parts, full * capacity, rest))
                     load += rest
-                if load >= block_containers * capacity:
+                if load >= block_containers * capacity or len(items) >= block_items:
                     yield close()
                     block, items, load = block + 1, [], 0
             if whole:

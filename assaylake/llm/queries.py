@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from assaylake.common import clean, latest_version, table
 from assaylake.llm.mapping import map_to_canonical
-from assaylake.llm.mixing import mix_sources, share_report
-from assaylake.llm.packing import fill_report, pack
+from assaylake.llm.mixing import mix_sources, share_report, sized_documents
+from assaylake.llm.packing import CAPACITY, fill_report, pack
 from assaylake.llm.percentiles import group_percentiles, percentiles_from_counts, period_counts
 from assaylake.llm.spans import shared_coverage, shared_pairs
 from assaylake.llm.tokens import with_token_counts
 from assaylake.llm.topn import top_n_per_group
+from assaylake.session import Scratch
 
 TOP = 5
 TOLERANCE = 0.06
@@ -75,17 +76,40 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = with_token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mix_sources(sized, table(spark, sf_dir, "source_weights"), "doc_id")
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sized_documents(with_token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[0]
+    return mix_sources(_sized(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id")[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share_report(*_mixed(spark, sf_dir))
+    """Shares of every listed and every occurring source."""
+    sized, weights = _sized(spark, sf_dir), table(spark, sf_dir, "source_weights")
+    mix, rates = mix_sources(sized, weights, "doc_id")
+    return share_report(mix, rates, "source", sized, weights)
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what must hold of the mix. Copies are counted from 1 without gaps, none exceeds its cap, and rows are documents of their source."""
+    sized, weights = _sized(spark, sf_dir), table(spark, sf_dir, "source_weights")
+    mix, rates = mix_sources(sized, weights, "doc_id")
+    per = mix.groupBy("doc_id", "source").agg(F.max("copy").alias("most"), F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("kinds"))
+    capped = per.join(rates.select("source", "max_repeats", "rate"), "source")
+    bad = (F.col("most") > F.col("max_repeats")) | (F.col("n") != F.col("kinds")) | (F.col("n") != F.col("most")) | (F.col("n") < F.floor("rate")) | (F.col("n") > F.ceil("rate"))
+    strays = mix.select("doc_id", "source", "n_tokens").distinct().join(sized, ["doc_id", "source", "n_tokens"], "left_anti").agg(F.count(F.lit(1)).alias("strays"))
+    sources = rates.agg(F.count(F.lit(1)).alias("drawn_sources"))
+    return capped.agg(F.count(F.when(bad, 1)).alias("broken")).crossJoin(strays).crossJoin(sources)
+
+
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, and what must hold of the packing: no container is too full, none is empty, and the parts of a document join without gaps."""
+    parts = Scratch(spark).write(p6_packed(spark, sf_dir), "packed")
+    full = parts.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count(F.when((F.col("n") > CAPACITY) | (F.col("n") <= 0), 1)).alias("bad_containers"))
+    docs = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_parts").alias("n_parts"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.countDistinct("part").alias("parts"))
+    bad = (F.col("rows") != F.col("n_parts")) | (F.col("parts") != F.col("n_parts")) | (F.col("n") != F.col("end")) | ((F.col("n") <= CAPACITY) & (F.col("n_parts") > 1))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(bad, 1)).alias("bad_documents")).crossJoin(full)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +121,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_coverage)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p6_checked, p7_mix, p7_shares, p7_checked, p8_found, p8_coverage)}
 
 
 _SCORES = """scores AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC, sample_id DESC NULLS LAST,
@@ -114,6 +138,10 @@ _NORMALS = f"""WITH {_SCORES}, normals AS (SELECT smp_id, cohort, z_stouffer_abs
 def oracle_sql() -> dict[str, str]:
     cell = lambda p: f"min(CASE WHEN upto > floor({p} * (total - 1)) THEN round((cell + 0.5) / 64, 6) END)"
     return {
+        # What must hold of any packing and any mix.
+        "p6_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS bad_documents, CAST(0 AS BIGINT) AS bad_containers FROM documents",
+        "p7_checked": """SELECT CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS strays, count(*) AS drawn_sources FROM source_weights w
+            WHERE target_share > 0 AND max_repeats >= 1 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = w.source AND length(d.text) > 0)""",
         "p2_found": f"{_TOP} SELECT sample_id, score_id FROM ranked WHERE rank <= {TOP}",
         "p2_topn": f"{_TOP} SELECT sample_id, smp_id, score_id, z_stouffer_abs, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {TOP}",
         "p3_found": f"""{_NORMALS} SELECT DISTINCT r.smp_id, r.cohort FROM pathway_stouffer_reference r JOIN actual a USING (smp_id, cohort)

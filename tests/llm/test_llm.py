@@ -192,6 +192,13 @@ def test_packing_round_trip(spark):
     assert r.fullest <= 128 and r.used_share > 0.9
 
 
+def test_blocks_of_tiny_items_are_bounded(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(700)], "doc_id int, text string").coalesce(1)
+    out = packing.pack(df, "doc_id", "text", capacity=128, block_items=256).toPandas()
+    assert len(out) == 700 and out.groupby("container_id").n_tokens.sum().max() <= 128
+    assert out.container_id.str.rsplit("-", n=1).str[0].value_counts().max() == 256
+
+
 def test_packed_documents_of_the_table(spark, sf):
     count = tokens.token_counter()
     want = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and count(r.text) > 2048}
@@ -214,6 +221,8 @@ def test_mix_reaches_targets(spark):
     assert m.groupby(["doc_id", "copy"]).size().max() == 1
     report = {r.source: r for r in mixing.share_report(mix, rates).collect()}
     assert all(abs(r.actual_share - r.share) < 0.02 for r in report.values()) and abs(report["big"].share - 4 / 9) < 1e-9
+    every = {r.source: r.status for r in mixing.share_report(mix, rates, "source", df, w).collect()}
+    assert every == {**dict.fromkeys(caps, "drawn"), "absent": "no tokens", "zero": "no tokens", "other": "not listed", None: "no source"}
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mixing.draw_mix(df.repartition(7), rates, "doc_id").collect()))
     assert mixing.mix_sources(df.limit(0), w, "doc_id")[0].count() == 0
     big = mixing.repetition_rates(df, w, total_tokens=10**9)
