@@ -12,7 +12,7 @@ from assaylake.llm.mapping import map_to_canonical
 from assaylake.llm.mixing import mix_sources, share_report, sized_documents
 from assaylake.llm.packing import CAPACITY, fill_report, pack
 from assaylake.llm.percentiles import group_percentiles, percentiles_from_counts, period_counts
-from assaylake.llm.spans import shared_coverage, shared_pairs
+from assaylake.llm.spans import LEAST, shared_classes, shared_coverage, shared_members, shared_pairs
 from assaylake.llm.tokens import with_token_counts
 from assaylake.llm.topn import top_n_per_group
 from assaylake.session import Scratch
@@ -117,11 +117,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_coverage(table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = shared_coverage(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.withColumn("shared_share", F.round("shared_share", 6))
+
+
+def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per shared span; two documents share text exactly if they are members of one span."""
+    return shared_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per shared span with its number of documents."""
+    return shared_classes(p8_members(spark, sf_dir), "doc_id").select("doc_id", "start", "n_documents")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p6_checked, p7_mix, p7_shares, p7_checked, p8_found, p8_coverage)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_topn, p3_found, p3_percentiles, p3_daily, p6_found, p6_packed, p6_fill, p6_checked, p7_mix, p7_shares, p7_checked, p8_found, p8_members, p8_classes, p8_coverage)}
 
 
 _SCORES = """scores AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC, sample_id DESC NULLS LAST,
@@ -135,6 +146,11 @@ _NORMALS = f"""WITH {_SCORES}, normals AS (SELECT smp_id, cohort, z_stouffer_abs
     FROM normals GROUP BY smp_id, cohort)"""
 
 
+# Every run of characters, by brute force.
+_SPANS = f"""WITH starts AS (SELECT doc_id AS id, text, unnest(range(length(text) - {LEAST} + 1)) AS s FROM documents WHERE length(text) >= {LEAST}),
+    w AS (SELECT id, s, md5(substring(text, CAST(s + 1 AS BIGINT), {LEAST})) AS run FROM starts)"""
+
+
 def oracle_sql() -> dict[str, str]:
     cell = lambda p: f"min(CASE WHEN upto > floor({p} * (total - 1)) THEN round((cell + 0.5) / 64, 6) END)"
     return {
@@ -142,6 +158,13 @@ def oracle_sql() -> dict[str, str]:
         "p6_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS bad_documents, CAST(0 AS BIGINT) AS bad_containers FROM documents",
         "p7_checked": """SELECT CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS strays, count(*) AS drawn_sources FROM source_weights w
             WHERE target_share > 0 AND max_repeats >= 1 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = w.source AND length(d.text) > 0)""",
+        "p8_found": f"{_SPANS} SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM w a JOIN w b ON a.run = b.run AND a.id < b.id",
+        "p8_coverage": f"""{_SPANS}, shared AS (SELECT run FROM w GROUP BY run HAVING min(id) <> max(id)),
+            held AS (SELECT DISTINCT w.id, s FROM w JOIN shared USING (run)),
+            steps AS (SELECT id, least(s - lag(s, 1, s - {LEAST}) OVER (PARTITION BY id ORDER BY s), {LEAST}) AS new FROM held),
+            per AS (SELECT id, CAST(sum(new) AS BIGINT) AS n FROM steps GROUP BY id)
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars,
+            CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0.0 END AS shared_share FROM documents d LEFT JOIN per ON per.id = d.doc_id""",
         "p2_found": f"{_TOP} SELECT sample_id, score_id FROM ranked WHERE rank <= {TOP}",
         "p2_topn": f"{_TOP} SELECT sample_id, smp_id, score_id, z_stouffer_abs, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {TOP}",
         "p3_found": f"""{_NORMALS} SELECT DISTINCT r.smp_id, r.cohort FROM pathway_stouffer_reference r JOIN actual a USING (smp_id, cohort)

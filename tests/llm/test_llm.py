@@ -262,6 +262,13 @@ def test_spans_equal_brute_force(spark, how):
     df = spark.createDataFrame([*docs, (None, docs[-1][1])], "doc_id int, text string").withColumn("id", F.lit(3)).withColumn("n", F.lit("x"))
     pairs, cover = brute(docs, 160)
     assert {tuple(r) for r in spans.shared_pairs(df, "doc_id", "text", **how).collect()} == pairs and len(pairs) > 8
+    assert {tuple(r) for r in spans.shared_pairs(df, "doc_id", "text", block_members=2, hot_rows=5, **how).collect()} == pairs
+    members = spans.shared_members(df, "doc_id", "text", **how).cache()
+    own = defaultdict(set)
+    for r in members.collect():
+        own[r.span, r.span2].add(r.doc_id)
+    assert {(a, b) for v in own.values() for a in v for b in v if a < b} == pairs
+    assert Counter(r.n_documents for r in spans.shared_classes(members, "doc_id").collect()) == Counter(map(len, own.values()))
     assert {r.doc_id: r.shared_chars for r in spans.shared_coverage(df, "doc_id", "text", **how).collect()} == cover
 
 
