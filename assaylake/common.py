@@ -56,3 +56,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], least: int, share: float = HOT_
     total = counts.agg(F.sum("n").alias("_total"))
     hot = counts.crossJoin(F.broadcast(total)).where((F.col("n") > least) & (F.col("n") > F.col("_total") * share)).drop("_total")
     return hot.withColumn("salts", F.ceil(F.col("n") / F.lit(per_salt or max(least, 1))).cast("int"))
+
+
+def join_frequent(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], least: int, share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for every key of ``rows`` and ``n``, their number.
+
+    The few keys with very many rows, at most 1 / ``share``, are joined by broadcast, all others by shuffle, so no task gets a hot
+    key's rows. NULL is a key like any other.
+    """
+    total = keyed.agg(F.sum("n").alias("_total"))
+    often = (F.col("n") > least) & (F.col("n") > F.col("_total") * share)
+    marked = keyed.crossJoin(F.broadcast(total)).withColumn("_often", often).drop("_total")
+    named = marked.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in marked.columns if c not in (*keys, "n")])
+    on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    hot, drop = F.broadcast(named.where("_often")), ["_often", *[f"_k{i}" for i in range(len(keys))]]
+    cold = rows.join(hot.select(*drop[1:]), on, "left_anti").join(named.where(~F.col("_often")), on)
+    return rows.join(hot, on).drop(*drop).unionByName(cold.drop(*drop))

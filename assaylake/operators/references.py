@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of all references on; at most 1 / HOT_SHARE keys can be hot, which
-#: bounds the broadcast of the hot keys.
-HOT_SHARE = 1e-3
+from assaylake.common import hot_keys
+
+#: References to one key that one task merges; a key with more that also holds HOT_SHARE of all references is split by their number.
 HOT_LEAST = 100_000
-SALTS = 32
 
 
 def normal_key(c: Column) -> Column:
@@ -18,7 +17,7 @@ def normal_key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, hot_least: int = HOT_LEAST, salts: int = SALTS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """References without a live parent at their time, with the reason.
 
     ``refs`` has (table_name, row_id, field_name, parent, key, at), ``parents`` has (parent, key,
@@ -34,17 +33,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot_least: int = HOT_
 
     Both streams are partitioned by key, sorted by time and merged once: a running count of
     periods opened minus periods closed tells how many are live at each reference. References to
-    hot keys are salted, and only the parents of those few keys are repeated per salt.
+    hot keys are salted by their number, and only the parents of those few keys are repeated per salt.
     """
     refs = refs.where("key is not null")
-    counts = refs.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n"))
-    total = refs.count()
-    hot = counts.where(F.col("n") > max(hot_least, total * HOT_SHARE)).select("parent", "key", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot_keys(refs, ["parent", "key"], hot_least).select("parent", "key", "salts"))
     periods = parents.where("key is not null and live_from is not null and (live_to is null or live_to > live_from)").select("parent", "key", "live_from", "live_to").distinct()
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("table_name", "row_id", "field_name"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r = refs.join(F.broadcast(hot), ["parent", "key"], "left").withColumn("salt", salt)
-    p = periods.join(F.broadcast(hot), ["parent", "key"], "left").withColumn("salt", F.explode(spread))
+    salts = F.coalesce("salts", F.lit(1))
+    r = refs.join(hot, ["parent", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("table_name", "row_id", "field_name"), salts).cast("int"))
+    p = periods.join(hot, ["parent", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     none = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in ("table_name", "row_id", "field_name")]
     opened = p.select("parent", "key", "salt", F.col("live_from").alias("at"), F.lit(0).alias("kind"), *none)
     closed = p.where("live_to is not null").select("parent", "key", "salt", F.col("live_to").alias("at"), F.lit(1).alias("kind"), *none)

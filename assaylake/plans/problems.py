@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.common import clean, latest_version, table
-from assaylake.operators.impute import nearest_donors, with_prediction
+from assaylake.operators.impute import fill_from_donors, nearest_donors, with_prediction
 from assaylake.operators.references import normal_key, orphan_references, orphan_report
 from assaylake.session import Scratch
 
@@ -18,14 +18,30 @@ VALID = {"classification": (0, 1, 2, 3), "oordeel_targeted": (0, 1)}
 FEATURES = ("neszumjoboside", "rolmabmuposide", "kashotpinic_acid", "gudsispetoside", "gudbushotamide", "garjevgaric_acid")
 
 
-def p4_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing labels from the record of the same sample that is nearest in time."""
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest records with their valid labels and the time in microseconds, as a written table: every field reads it several times."""
     merged = table(spark, sf_dir, "merged_data_with_classification")
     rows = latest_version(merged, "record_id", "loaded_at", ["record_id", "sample_id", *VALID, "acquired_at"])
-    fields = [F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).isin(*map(float, ok)), F.col(f).cast("int")).alias("v")) for f, ok in VALID.items()]
-    cells = rows.select("record_id", "sample_id", F.unix_micros(F.col("acquired_at").cast("timestamp")).alias("t"), F.explode(F.array(*fields)).alias("f")).select("record_id", "sample_id", "t", "f.*")
-    # Within a sample the prediction is an affine function of time, so distances in time rank the donors.
-    return nearest_donors(cells, "record_id", ["sample_id", "field_name"], "v", "t")
+    valid = [F.when(F.col(f).isin(*map(float, ok)), F.col(f).cast("int")).alias(f) for f, ok in VALID.items()]
+    return Scratch(spark).write(rows.select("record_id", "sample_id", F.unix_micros(F.col("acquired_at").cast("timestamp")).alias("t"), *valid), "labels")
+
+
+def p4_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing labels by predictive mean matching: each field is fitted on time within the samples, and the record of the sample with the nearest prediction gives its value."""
+    rows, out = _labels(spark, sf_dir), []
+    for f in VALID:
+        fitted = with_prediction(rows.select("record_id", "sample_id", "t", F.lit(f).alias("field_name"), F.col(f).alias("v")), ["sample_id"], "v", ["t"])
+        out.append(nearest_donors(fitted, "record_id", ["sample_id", "field_name"], "v", "prediction", along="t"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records with both labels filled where a donor exists, and the mark and donor of every filled cell; -1 stands for none."""
+    rows = _labels(spark, sf_dir)
+    for f in VALID:
+        rows = fill_from_donors(with_prediction(rows, ["sample_id"], f, ["t"]), "record_id", ["sample_id"], f, "prediction", along="t").drop("prediction")
+    none = [F.coalesce(c, F.lit(-1)).alias(c) for f in VALID for c in (f, f"{f}_donor")]
+    return rows.select("record_id", "sample_id", *none, *[f"{f}_filled" for f in VALID])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +83,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_donors, p4_features, p5_found, p5_report)}
+    return {f.__name__: f for f in (p4_found, p4_donors, p4_filled, p4_features, p5_found, p5_report)}
 
 
 def _latest(name: str, key: str) -> str:
@@ -96,6 +112,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"{_CELLS} SELECT record_id, field_name, filled FROM ranked WHERE r = 1",
         "p4_donors": f"{_CELLS} SELECT record_id, sample_id, field_name, filled, donor_id, distance FROM ranked WHERE r = 1",
+        "p4_filled": f"""{_CELLS}, best AS (SELECT * FROM ranked WHERE r = 1), c AS (SELECT * FROM best WHERE field_name = 'classification'), o AS (SELECT * FROM best WHERE field_name = 'oordeel_targeted')
+            SELECT a.record_id, a.sample_id, coalesce(a.v, c.filled, -1) AS classification, c.record_id IS NOT NULL AS classification_filled, coalesce(c.donor_id, -1) AS classification_donor,
+            coalesce(b.v, o.filled, -1) AS oordeel_targeted, o.record_id IS NOT NULL AS oordeel_targeted_filled, coalesce(o.donor_id, -1) AS oordeel_targeted_donor
+            FROM cells a JOIN cells b ON a.record_id = b.record_id AND a.field_name = 'classification' AND b.field_name = 'oordeel_targeted'
+            LEFT JOIN c ON c.record_id = a.record_id LEFT JOIN o ON o.record_id = a.record_id""",
         "p5_found": f"{_REFS} SELECT table_name, row_id, field_name FROM orphans",
         "p5_report": f"""{_REFS} SELECT table_name, field_name, strftime(o.at, '%Y-%m') AS month, CASE
             WHEN NOT EXISTS (SELECT 1 FROM parents p WHERE p.parent = o.parent AND p.key = o.key AND p.a IS NOT NULL) THEN 'missing'

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from assaylake.common import latest_version
@@ -38,6 +39,36 @@ def test_nearest_donors_equal_brute_force(spark, range_rows):
     assert nearest_donors(df.limit(0), "id", ["g"], "v", "p").count() == 0
 
 
+@pytest.mark.parametrize("slope", [0.0, 1.5, -2.0])
+def test_donors_by_a_fit_on_time_are_the_nearest_in_time(spark, slope):
+    rng = random.Random(11)
+    rows = [(i, rng.choice("abc"), (None if rng.random() < 0.4 else float(round(slope * t + rng.random()))), 10**15 + t * 1_000_000) for i, t in enumerate(rng.choices(range(60), k=240))]
+    df = spark.createDataFrame(rows, "id int, g string, v double, t long")
+    fitted = with_prediction(df, ["g"], "v", ["t"])
+    got = {(r.id, r.filled, r.donor_id) for r in nearest_donors(fitted, "id", ["g"], "v", "prediction", 50, along="t").collect()}
+    assert got == brute_donors(rows)
+
+
+def test_feature_donors_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 2))
+    g = rng.integers(0, 3, 120)
+    y = np.array([0.0, 5.0, -2.0])[g] + x @ [1.5, -0.5] + rng.normal(scale=0.1, size=120)
+    missing = rng.random(120) < 0.3
+    df = spark.createDataFrame([(i, int(g[i]), None if missing[i] else float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(120)], "id int, g int, y double, a double, b double")
+    seen = ~missing
+    mean = lambda v: np.array([v[seen & (g == k)].mean(axis=0) for k in range(3)])[g]
+    dx, dy = x - mean(x), y - mean(y)
+    pred = mean(y) + dx @ np.linalg.lstsq(dx[seen], dy[seen], rcond=None)[0]
+    want = {}
+    for i in np.flatnonzero(missing):
+        own = np.flatnonzero(seen & (g == g[i]))
+        want[int(i)] = int(own[np.argmin(np.abs(pred[own] - pred[i]))])
+    fitted = with_prediction(df, ["g"], "y", ["a", "b"])
+    assert np.allclose([r.prediction for r in fitted.orderBy("id").collect()], pred)
+    assert {r.id: r.donor_id for r in nearest_donors(fitted, "id", ["g"], "y", "prediction").collect()} == want
+
+
 def test_fill_marks_cells(spark):
     df = spark.createDataFrame([(1, "a", 5.0, 1.0), (2, "a", None, 2.0), (3, "b", None, 1.0)], "id int, g string, v double, p double")
     got = {r.id: (r.v, r.v_filled, r.v_donor) for r in fill_from_donors(df, "id", ["g"], "v", "p").collect()}
