@@ -110,19 +110,27 @@ def distance_sums(vectors: DataFrame, numbers: int = BLOCK_NUMBERS) -> DataFrame
         if not len(block):
             continue
         codes, names = pd.factorize(block["label"], sort=True)
-        shipped = vectors.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), np.stack(block["vector"].to_numpy()).astype(np.float64), codes, np.asarray(names)))
+        order = np.argsort(codes, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+        shipped = vectors.sparkSession.sparkContext.broadcast((block["id"].to_numpy()[order], np.stack(block["vector"].to_numpy()).astype(np.float64)[order], first, np.asarray(names)))
 
         def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            ids, m, codes, names = shipped.value
+            ids, m, first, names = shipped.value
+            norms, sizes = (m * m).sum(axis=1), np.diff(np.r_[first, len(ids)])
             for pdf in batches:
-                for own, v, label in zip(pdf["id"], pdf["vector"], pdf["label"], strict=True):
-                    d = np.sqrt(((m - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-                    other = ids != own
-                    n = np.bincount(codes[other], minlength=len(names))
-                    total = np.bincount(codes[other], weights=d[other], minlength=len(names))
-                    most = np.zeros(len(names))
-                    np.maximum.at(most, codes[other], d[other])
-                    yield pd.DataFrame({"id": own, "label": label, "other": names, "n": n, "total": total, "most": most})
+                for s in range(0, len(pdf), 64):
+                    own, labels = pdf["id"].to_numpy()[s : s + 64], pdf["label"].to_numpy()[s : s + 64]
+                    v = np.stack(pdf["vector"].to_numpy()[s : s + 64]).astype(np.float64)
+                    squares = norms[None, :] + (v * v).sum(axis=1)[:, None] - 2 * v @ m.T
+                    # The expanded square loses digits where vectors are near; these are measured again.
+                    r, c = np.nonzero(squares < 1e-3 * norms[None, :])
+                    squares[r, c] = ((v[r] - m[c]) ** 2).sum(axis=1)
+                    same = own[:, None] == ids[None, :]
+                    d = np.where(same, 0.0, np.sqrt(squares))
+                    n = sizes[None, :] - np.add.reduceat(same.astype(np.int64), first, axis=1)
+                    total, most = np.add.reduceat(d, first, axis=1), np.maximum.reduceat(d, first, axis=1)
+                    k = len(names)
+                    yield pd.DataFrame({"id": np.repeat(own, k), "label": np.repeat(labels, k), "other": np.tile(names, len(own)), "n": n.ravel(), "total": total.ravel(), "most": most.ravel()})
 
         part = rows.mapInPandas(run, f"id {id_type}, label {label_type}, other {label_type}, n bigint, total double, most double")
         out = part if out is None else out.unionByName(part)

@@ -11,22 +11,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators.draws import mix, poisson
+from assaylake.operators.ordered import percentiles, running_totals
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by Lentz's evaluation of its continued fraction; the terms needed grow with the root of a and b."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 0.0
+    value = 1.0
+    for i in range(1_000_000):
+        m = i // 2
+        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d or tiny)
+        c = (1 + term / c) or tiny
+        value *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    return front * (value - 1)
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Q12: exact binomial confidence limits by halving the interval of the binomial tail."""
+    """Q12: exact binomial confidence limits: quantiles of the beta distribution, by halving."""
     if n <= 0:
         return math.nan, math.nan
 
-    def tail(p: float, least: int) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(least, n + 1)]
-        return sum(map(math.exp, logs))
-
     def solve(target: float, least: int) -> float:
         lo, hi = 0.0, 1.0
         for _ in range(100):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if tail(mid, least) < target else (lo, mid)
+            # The chance of at least that many successes is a value of the incomplete beta function.
+            lo, hi = (mid, hi) if beta_share(mid, least, n - least + 1) < target else (lo, mid)
         return (lo + hi) / 2
 
     a = (1 - level) / 2
@@ -46,7 +64,7 @@ def breakdown(df: DataFrame, keys: Sequence[str], flagged: str) -> DataFrame:
 
 def realistic(df: DataFrame, score: str, reference: Column, outlier: Column, inlier: Column, share: float, prevalence: float) -> DataFrame:
     """threshold = percentile of the reference scores, flag scores at or below it, and metrics at an assumed prevalence."""
-    t = df.agg(F.percentile(F.when(reference, F.col(score)), F.lit(share)).alias("threshold"))
+    t = percentiles(df.where(reference), score, [share], ["threshold"])
     hit = F.col(score) <= F.col("threshold")
     r = df.crossJoin(F.broadcast(t)).agg(F.first("threshold").alias("threshold"), F.try_divide(F.count_if(outlier & hit), F.count_if(outlier)).alias("recall"), F.try_divide(F.count_if(inlier & hit), F.count_if(inlier)).alias("fpr"))
     tp, fp = F.lit(prevalence) * F.col("recall"), F.lit(1 - prevalence) * F.col("fpr")
@@ -56,12 +74,12 @@ def realistic(df: DataFrame, score: str, reference: Column, outlier: Column, inl
 
 def lowest_flags(df: DataFrame, score: str, share: float) -> DataFrame:
     """Flag the round(share * n) lowest scores, ties with the last one included; the cut is a percentile by rank, found by aggregation."""
-    n = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1)).alias("n")).first().n
-    k = round(share * n)
-    if k <= 0:
-        return df.withColumn("flagged", F.lit(False))
-    cut = df.where(F.col(score).isNotNull()).agg(F.percentile(score, F.lit((k - 1) / max(n - 1, 1))).alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("flagged", F.coalesce(F.col(score) <= F.col("cut") + F.abs("cut") * 1e-12, F.lit(False))).drop("cut")
+    n = F.col("c_before") + F.col("c")
+    r = running_totals(df.where(F.col(score).isNotNull()).select(score, F.lit(1).cast("long").alias("c")), score, ["c"])
+    k = F.bround(F.lit(float(share)) * F.col("n"), 0)
+    # The score at the last rank to be flagged; NULL, and nothing flagged, if that rank is 0.
+    cut = r.crossJoin(F.broadcast(r.agg(F.sum("c").alias("n")))).where((F.col("c_before") < k) & (k <= n)).agg(F.max(score).alias("cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("flagged", F.coalesce(F.col(score) <= F.col("cut"), F.lit(False))).drop("cut")
 
 
 def guardrail(df: DataFrame, markers: DataFrame, reference: str, limit: float) -> DataFrame:
@@ -119,7 +137,7 @@ def diverging(stats: DataFrame, ids: DataFrame, ratio: float = 2.0) -> DataFrame
 
 def drift_stats(df: DataFrame, group: str, score: str, nominal: float, reference: Column) -> DataFrame:
     """Per group counts, moments and percentiles of the scores, the rate below the reference threshold, a warning and the shift of the mean."""
-    t = df.agg(F.percentile(F.when(reference, F.col(score)), F.lit(nominal)).alias("cut"), F.avg(F.when(reference, F.col(score))).alias("base"))
+    t = percentiles(df.where(reference), score, [nominal], ["cut"]).crossJoin(F.broadcast(df.agg(F.avg(F.when(reference, F.col(score))).alias("base"))))
     q = F.percentile(score, F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98)))
     s = df.crossJoin(F.broadcast(t)).groupBy(group).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), q.alias("q"), F.avg((F.col(score) <= F.col("cut")).cast("int")).alias("rate"), F.first("base").alias("base"))
     return s.select(group, "n", "mean", "sd", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p98"), "rate", (F.col("rate") > max(3 * nominal, nominal + 0.05)).alias("warn"), (F.col("mean") - F.col("base")).alias("shift"))

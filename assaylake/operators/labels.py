@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.names import contains_any
+from assaylake.operators.ordered import numbered
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -25,6 +26,17 @@ def group_of(classification: Column, oordeel: Column, imd_requires_oordeel: bool
     return F.when(is_normal(classification, oordeel), "normal").when(imd, "imd").otherwise("other")
 
 
+def group_by_treatment(classification: Column, oordeel: Column, non_treated: Column | None) -> Column:
+    """L8 by treatment: normal, imd or other, where only untreated patients are imd.
+
+    A patient counts as imd with classification 1 and an untreated label of 1; a missing treatment label is no proof. Without
+    that label at all both other labels must be 1. Being normal overrides.
+    """
+    proof = F.coalesce(non_treated == 1, F.lit(False)) if non_treated is not None else F.coalesce(oordeel == 1, F.lit(False))
+    imd = F.coalesce(classification == 1, F.lit(False)) & proof
+    return F.when(is_normal(classification, oordeel), "normal").when(imd, "imd").otherwise("other")
+
+
 def lab_role(classification: Column, oordeel: Column, non_treated: Column | None = None) -> Column:
     """outlier, inlier or gray; NULL if a label is missing. Without the third label two suffice for an outlier."""
     both = (classification == 1) & (oordeel == 1)
@@ -56,19 +68,19 @@ def qc_with_fallback(df: DataFrame, column: str, primary: str, fallback: str) ->
     return df.crossJoin(F.broadcast(any_)).withColumn("is_qc", F.when(F.col("any"), a).otherwise(b)).drop("any")
 
 
-def _dealt(stratum: str, key: str, seed: int) -> Window:
-    """A reproducible order inside a stratum: by a digest of key and seed, not by the partitioning."""
-    return Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key))
+def _dealt(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
+    """Add ``_n``, a reproducible place inside a stratum by a digest of key and seed, and ``_all``, the stratum's rows; no task orders a whole stratum."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return numbered(df.withColumn("_d", digest), [stratum], F.substring("_d", 1, 3), [F.col("_d"), F.col(key)], "_n", "_all").drop("_d")
 
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int, seed: int) -> DataFrame:
-    return df.withColumn("fold", ((F.row_number().over(_dealt(stratum, key, seed)) - 1) % k).cast("int"))
+    return _dealt(df, key, stratum, seed).withColumn("fold", ((F.col("_n") - 1) % k).cast("int")).drop("_n", "_all")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float, seed: int) -> DataFrame:
     """Add ``is_validation``: round(n * fraction) of each stratum, halves to even."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return df.withColumn("is_validation", F.row_number().over(_dealt(stratum, key, seed)) <= F.bround(n * F.lit(fraction), 0))
+    return _dealt(df, key, stratum, seed).withColumn("is_validation", F.col("_n") <= F.bround(F.col("_all") * F.lit(fraction), 0)).drop("_n", "_all")
 
 
 def error_lists(df: DataFrame) -> DataFrame:

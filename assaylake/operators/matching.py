@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.names import accession_tag, loose_name, normal_name
+from assaylake.operators.ordered import numbered, ranges_of
 from assaylake.session import Scratch
 
 
@@ -172,8 +173,9 @@ def components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     return vertices.join(edges.withColumnsRenamed({"u": "key", "v": "component"}), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def injection_order(runs: DataFrame, clean: Column, date: str) -> DataFrame:
-    """(name, injection_order): 0.. by the earliest date of each cleaned name, unknown dates last."""
-    first = runs.groupBy(clean.alias("name")).agg(F.min(date).alias("at"))
-    # A run list is as long as its file; the order is global by definition.
-    return first.select("name", (F.row_number().over(Window.orderBy(F.asc_nulls_last("at"), "name")) - 1).alias("injection_order"))
+def injection_order(runs: DataFrame, clean: Column, date: str, keep_date: bool = False, kind: str = "int") -> DataFrame:
+    """(name, injection_order): 0.. by the earliest date of each cleaned name, unknown dates last; ordered inside ranges of time."""
+    first = Scratch(runs.sparkSession).write(runs.groupBy(clean.alias("name")).agg(F.min(date).alias("at")), "first")
+    timed = first.withColumn("_t", F.unix_micros(F.col("at").cast("timestamp")))
+    out = numbered(timed, [], ranges_of(timed, "_t"), [F.asc_nulls_last("_t"), F.col("name")], "_n")
+    return out.select("name", (F.col("_n") - 1).cast(kind).alias("injection_order"), *(["at"] if keep_date else []))

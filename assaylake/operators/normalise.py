@@ -131,23 +131,35 @@ def nearest(df: DataFrame, by: Sequence[str], x: str, y: str, out: str) -> DataF
     return d.withColumn(out, F.when(F.col("_a").isNotNull() & first, F.col("_a.y")).otherwise(F.col("_b.y"))).drop("_a", "_b")
 
 
-def lowess(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 3) -> np.ndarray:
+#: Numbers of one block of weights: 32 MB. More controls are fitted block by block.
+LOWESS_NUMBERS = 4_000_000
+
+
+def lowess(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 3, numbers: int = LOWESS_NUMBERS) -> np.ndarray:
     """Cleveland's local linear regression at each x (sorted): tricube weights over the nearest points, then bisquare rounds."""
     n = len(x)
     k = min(n, max(2, int(share * n + 1e-10)))
     robust, fit = np.ones(n), np.asarray(y, dtype=float).copy()
-    near = np.abs(x[:, None] - x[None, :])
-    reach = np.sort(near, axis=1)[:, k - 1]
+    step = max(1, numbers // max(n, 1))
+    blocks = [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+    def weights(at: slice) -> np.ndarray:
+        near = np.abs(x[at, None] - x[None, :])
+        reach = np.partition(near, k - 1, axis=1)[:, k - 1]
+        return np.where(near <= 0.001 * reach[:, None], 1.0, np.where(near < 0.999 * reach[:, None], (1 - (near / reach[:, None]) ** 3) ** 3, 0.0))
+
     with np.errstate(all="ignore"):
-        base = np.where(near <= 0.001 * reach[:, None], 1.0, np.where(near < 0.999 * reach[:, None], (1 - (near / reach[:, None]) ** 3) ** 3, 0.0))
+        only = weights(blocks[0]) if len(blocks) == 1 else None
         for _ in range(rounds + 1):
-            w = base * robust
-            total = w.sum(axis=1)
-            mx, my = (w * x).sum(axis=1) / total, (w * y).sum(axis=1) / total
-            dx = x[None, :] - mx[:, None]
-            sxx = (w * dx * dx).sum(axis=1)
-            slope = np.where(np.sqrt(sxx / total) > 0.001 * (x[-1] - x[0]), (w * dx * y).sum(axis=1) / sxx, 0.0)
-            new = my + slope * (x - mx)
+            new, total = np.empty(n), np.empty(n)
+            for at in blocks:
+                w = (weights(at) if only is None else only) * robust
+                total[at] = w.sum(axis=1)
+                mx, my = (w * x).sum(axis=1) / total[at], (w * y).sum(axis=1) / total[at]
+                dx = x[None, :] - mx[:, None]
+                sxx = (w * dx * dx).sum(axis=1)
+                slope = np.where(np.sqrt(sxx / total[at]) > 0.001 * (x[-1] - x[0]), (w * dx * y).sum(axis=1) / sxx, 0.0)
+                new[at] = my + slope * (x[at] - mx)
             fit = np.where(total > 0, new, y)
             rest = np.abs(y - fit)
             s = np.median(rest)
@@ -253,13 +265,15 @@ def combat(df: DataFrame, gamma: float = 1.0, floor_at_zero: bool = True, tolera
                 a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
                 ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(t2) & np.isfinite(d0)
                 squares = d0 * (n - 1)
-                g, d = g0.copy(), d0.copy()
+                # A feature rests once it has converged, so no other row of its Arrow batch changes its result.
+                g, d, live = g0.copy(), d0.copy(), np.ones(len(g0), dtype=bool)
                 for _ in range(1000):
                     g1 = np.where(ok, (t2 * n * g0 + d * gbar) / (t2 * n + d), g0)
                     d1 = np.where(ok, (0.5 * (squares + n * (g0 - g1) ** 2) + b) / (n / 2 + a - 1), d0)
-                    change = max(np.nanmax(np.abs(g1 - g) / np.abs(g), initial=0.0), np.nanmax(np.abs(d1 - d) / d, initial=0.0))
-                    g, d = g1, d1
-                    if change <= tolerance:
+                    moves = live & ((np.abs(g1 - g) / np.abs(g) > tolerance) | (np.abs(d1 - d) / d > tolerance))
+                    g, d = np.where(live, g1, g), np.where(live, d1, d)
+                    live = moves
+                    if not live.any():
                         break
             yield pd.DataFrame({"feature": p["feature"], "batch": p["batch"], "grand": p["grand"], "sd": p["sd"], "shift": g, "spread": np.where(np.isfinite(d) & (d > 0), d, 1.0)})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.session import Scratch
@@ -62,3 +62,46 @@ def precision_recall(df: DataFrame, score: str, positive: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Sum of precision times the step in recall."""
     return precision_recall(df, score, positive).agg(F.sum(F.col("precision") * F.try_divide("hits", "all")).alias("average_precision"))
+
+
+def numbered(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
+    """Add the row number (from 1) of each row in ``order`` within ``by``, and with ``total`` the number of rows.
+
+    ``bucket`` must rise with the order, such as a digit of a digest or a range of a value; rows are ordered inside (by, bucket) only, and the
+    offsets come from a table of one row per bucket. NULL is a group like any other; without groups ``by`` is empty.
+    """
+    d = df.withColumn("_b", bucket)
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], F.col("_b").alias("_ob"), before.alias("_before"), F.sum("_c").over(whole).alias("_total"))
+    inside = d.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
+    j = inside.join(offsets, [*[F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(by)], F.col("_b").eqNullSafe(F.col("_ob"))])
+    j = j.withColumn(out, (F.col("_place") + F.col("_before")).cast("long"))
+    if total is not None:
+        j = j.withColumn(total, F.col("_total"))
+    return j.drop("_b", "_ob", "_before", "_total", "_place", *[f"_o{i}" for i in range(len(by))])
+
+
+def ranges_of(df: DataFrame, x: str, ranges: int = RANGES) -> Column:
+    """A range number that rises with the number in column ``x``, cut at approximate quantiles; NULL is in the last range."""
+    cuts = sorted(set(df.select(F.col(x).cast("double").alias("x")).where("x is not null").approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (2 * ranges))))
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    return F.when(F.col(x).isNotNull(), F.size(F.filter(bounds, lambda c: c < F.col(x).cast("double")))).otherwise(F.lit(len(cuts) + 1))
+
+
+def percentiles(df: DataFrame, x: str, probabilities: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """One row with exact percentiles of the whole column, interpolated linearly; NULL is left out, no value at all gives NULLs.
+
+    The rows at the ranks are found by running totals, so no task holds all distinct values.
+    """
+    r = running_totals(df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), F.lit(1).cast("long").alias("c")), "x", ["c"])
+    j = r.crossJoin(F.broadcast(r.agg(F.sum("c").alias("n"))))
+    found = []
+    for i, p in enumerate(probabilities):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        for side, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            found.append(F.max(F.when((F.col("c_before") <= rank) & (rank < F.col("c_before") + F.col("c")), F.col("x"))).alias(f"{side}{i}"))
+    one = j.agg(F.max("n").alias("n"), *found)
+    share = [F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probabilities]
+    return one.select(*[F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise(F.col(f"a{i}") * (1 - s) + F.col(f"b{i}") * s).alias(n) for i, (s, n) in enumerate(zip(share, names, strict=True))])

@@ -54,6 +54,11 @@ def _score(vectors: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFra
     return vectors.where("vector is not null").select("id", "vector").mapInPandas(run, f"id {dict(vectors.dtypes)['id']}, score double")
 
 
+def _asked(vectors: DataFrame, of: DataFrame | None) -> DataFrame:
+    """The rows to score: ``of``, or all vectors."""
+    return vectors if of is None else of
+
+
 def shrunk_covariance(n: int, cov: np.ndarray) -> np.ndarray:
     """Oracle approximating shrinkage (Chen et al. 2010) towards a multiple of the identity."""
     d = len(cov)
@@ -63,11 +68,11 @@ def shrunk_covariance(n: int, cov: np.ndarray) -> np.ndarray:
     return (1 - rho) * cov + rho * mu * np.eye(d)
 
 
-def mahalanobis(vectors: DataFrame, fit: Column | str) -> DataFrame:
+def mahalanobis(vectors: DataFrame, fit: Column | str, of: DataFrame | None = None) -> DataFrame:
     """Minus the squared Mahalanobis distance with shrunk covariance."""
     n, mean, cov = moments(vectors.where(fit))
     inverse = np.linalg.pinv(shrunk_covariance(n, cov))
-    return _score(vectors, lambda m: -np.einsum("ij,jk,ik->i", m - mean, inverse, m - mean))
+    return _score(_asked(vectors, of), lambda m: -np.einsum("ij,jk,ik->i", m - mean, inverse, m - mean))
 
 
 def components(vectors: DataFrame, fit: Column | str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,10 +97,10 @@ def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray) -> DataFrame
     return vectors.where("vector is not null").select("id", "vector").mapInPandas(run, f"id {dict(vectors.dtypes)['id']}, vector array<double>")
 
 
-def reconstruction(vectors: DataFrame, fit: Column | str, k: int) -> DataFrame:
+def reconstruction(vectors: DataFrame, fit: Column | str, k: int, of: DataFrame | None = None) -> DataFrame:
     """S3: minus the squared distance to the space of the first k components."""
     mean, axes, _ = components(vectors, fit, k)
-    return _score(vectors, lambda m: -((((m - mean) - (m - mean) @ axes.T @ axes)) ** 2).sum(axis=1))
+    return _score(_asked(vectors, of), lambda m: -((((m - mean) - (m - mean) @ axes.T @ axes)) ** 2).sum(axis=1))
 
 
 def _mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -115,7 +120,7 @@ def tree_rows(vectors: DataFrame, trees: int, rows: int = TREE_ROWS, seed: int =
     return near.withColumn("rank", rank).where(F.col("rank") <= rows).select("tree", "rank", "id", "vector")
 
 
-def isolation_forest(vectors: DataFrame, fit: Column | str, trees: int = 200, rows: int = TREE_ROWS, seed: int = 42) -> DataFrame:
+def isolation_forest(vectors: DataFrame, fit: Column | str, trees: int = 200, rows: int = TREE_ROWS, seed: int = 42, of: DataFrame | None = None) -> DataFrame:
     """Minus 2 ** (- mean path / expected path) (Liu, Ting and Zhou 2008).
 
     Each tree is grown on its own ``rows`` rows, those with the smallest hashes of tree and id among all fitted rows;
@@ -162,23 +167,23 @@ def isolation_forest(vectors: DataFrame, fit: Column | str, trees: int = 200, ro
             total += v[at]
         return -(2.0 ** (-(total / len(forest)) / expected))
 
-    return _score(vectors, path)
+    return _score(_asked(vectors, of), path)
 
 
-def kth_distance(vectors: DataFrame, fit: Column | str, k: int = 5) -> DataFrame:
+def kth_distance(vectors: DataFrame, fit: Column | str, k: int = 5, of: DataFrame | None = None) -> DataFrame:
     """Minus the distance to the k-th nearest fitted vector; a fitted row meets itself first."""
-    n = nearest_neighbours(vectors.where(fit), k, vectors, with_self=True)
+    n = nearest_neighbours(vectors.where(fit), k, _asked(vectors, of), with_self=True)
     return n.groupBy("id").agg((-F.max("distance")).alias("score"))
 
 
-def local_outlier_factor(vectors: DataFrame, fit: Column | str, k: int = 20) -> DataFrame:
+def local_outlier_factor(vectors: DataFrame, fit: Column | str, k: int = 20, of: DataFrame | None = None) -> DataFrame:
     """Minus the local outlier factor of each row against the fitted rows (Breunig et al. 2000), by two joins over the neighbour lists."""
     base = vectors.where(fit)
     inner = nearest_neighbours(base, k)
     reach = inner.groupBy("id").agg(F.max("distance").alias("kdist"))
     rd = lambda n: n.join(reach.select(F.col("id").alias("neighbour"), "kdist"), "neighbour").groupBy("id").agg((1 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("lrd"))
     density = rd(inner)
-    outer = nearest_neighbours(base, k, vectors)
+    outer = nearest_neighbours(base, k, _asked(vectors, of))
     own = rd(outer)
     lof = outer.join(density.select(F.col("id").alias("neighbour"), F.col("lrd").alias("near")), "neighbour").join(own, "id").groupBy("id").agg((-F.avg(F.col("near") / F.col("lrd"))).alias("score"))
     return lof
@@ -195,7 +200,7 @@ def ensemble(scores: list[DataFrame], fit_ids: DataFrame) -> DataFrame:
     return out.select("id", (total / len(scores)).alias("score"))
 
 
-def one_class_svm(vectors: DataFrame, fit: Column | str, nu: float = 0.05, gamma: float | None = None, most_rows: int = 2000, steps: int = 20_000, seed: int = 42) -> DataFrame:
+def one_class_svm(vectors: DataFrame, fit: Column | str, nu: float = 0.05, gamma: float | None = None, most_rows: int = 2000, steps: int = 20_000, seed: int = 42, of: DataFrame | None = None) -> DataFrame:
     """Decision value of a one-class SVM with RBF kernel (Schoelkopf et al. 2001).
 
     The dual is solved by exchanges of the most violating pair on a hash-drawn sample of at most ``most_rows`` rows,
@@ -231,7 +236,7 @@ def one_class_svm(vectors: DataFrame, fit: Column | str, nu: float = 0.05, gamma
     rho = float(grad[inner].mean()) if inner.any() else float((grad[a > 1e-9].max() + grad[a < most - 1e-9].min()) / 2) if (a < most - 1e-9).any() else float(grad.max())
     sv = a > 1e-9
     xs, ws, ss = x[sv], a[sv], square[sv]
-    return _score(vectors, lambda m: np.exp(-g * np.maximum((m * m).sum(axis=1)[:, None] + ss[None, :] - 2 * m @ xs.T, 0)) @ ws - rho)
+    return _score(_asked(vectors, of), lambda m: np.exp(-g * np.maximum((m * m).sum(axis=1)[:, None] + ss[None, :] - 2 * m @ xs.T, 0)) @ ws - rho)
 
 
 SCORERS: dict[str, Callable[..., DataFrame]] = {"isolation_forest": isolation_forest, "mahalanobis": mahalanobis, "pca_reconstruction": reconstruction, "one_class_svm": one_class_svm, "lof": local_outlier_factor, "knn": kth_distance}

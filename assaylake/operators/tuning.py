@@ -22,7 +22,8 @@ def out_of_fold(vectors: DataFrame, name: str, folds: int = 5, **options: Any) -
     parts = []
     for k in range(folds):
         fit = F.col("is_normal") & (F.col("fold") != k)
-        parts.append(scorer(name)(vectors, fit, **options).join(vectors.where(F.col("fold") == k).select("id"), "id", "left_semi").withColumn("fold", F.lit(k)))
+        own = vectors.where(F.col("fold") == k)
+        parts.append(scorer(name)(vectors, fit, of=own, **options).withColumn("fold", F.lit(k)))
     return reduce(DataFrame.unionByName, parts)
 
 

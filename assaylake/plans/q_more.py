@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from assaylake.plans.q_evaluate import _vectors
 from assaylake.plans.q_pathways import _F, _S, _flags, _scored, _summary
 from assaylake.plans.registry import Registry
 from assaylake.plans.views import SQL_LONG, SQL_MATRIX, SQL_RECORDS, SQL_SCORES, long_records, matrix, records, scores
+from assaylake.session import Scratch
 from assaylake.sources import readers, writers
 
 R = Registry()
@@ -24,32 +23,27 @@ queries, oracle_sql = R.queries, R.oracle_sql
 _R, _M, _L, _SC = f"WITH {SQL_RECORDS}", f"WITH {SQL_MATRIX}", f"WITH {SQL_LONG}", f"WITH {SQL_SCORES}"
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/exports" if base else tempfile.mkdtemp(prefix="assaylake-")
-
-
 @R.add("R01_wide_round_trip", f"{_M} SELECT feature, 'S' || sample AS sample_id, value FROM matrix WHERE is_qc")
 def r1(spark, d):
-    return _round_trip(spark, matrix(spark, d).where("is_qc"), f"wide-{abs(hash(d))}")
+    return _round_trip(spark, matrix(spark, d).where("is_qc"), "wide")
 
 
 @R.add("R01_wide_round_trip_whole", f"{_M} SELECT feature, 'S' || sample AS sample_id, value FROM matrix")
 def r1w(spark, d):
-    return _round_trip(spark, matrix(spark, d), f"whole-{abs(hash(d))}")
+    return _round_trip(spark, matrix(spark, d), "whole")
 
 
 def _round_trip(spark, cells: DataFrame, name: str) -> DataFrame:
     m = cells.select("feature", F.concat(F.lit("Area: S"), F.col("sample").cast("string"), F.lit(".raw (F1)")).alias("c"), "value")
     wide = writers.widen(m, "feature", "c", "value").withColumnRenamed("feature", "Name")
-    path = f"{_folder(spark)}/{name}.csv"
+    path = Scratch(spark).path(f"{name}.csv")
     writers.write_delimited(wide, path)
     return readers.read_wide(spark, path).where("value is not null").select("feature", "sample_id", "value")
 
 
 @R.add("R08_matrix_file", f"{_R} SELECT CAST(record_id AS VARCHAR) AS sample, classification, feature, value FROM (SELECT record_id, classification, 'neszumjoboside' AS feature, neszumjoboside AS value FROM records UNION ALL SELECT record_id, classification, 'rolmabmuposide', rolmabmuposide FROM records) WHERE classification IS NOT NULL")
 def r8(spark, d):
-    path = f"{_folder(spark)}/matrix-{abs(hash(d))}.csv"
+    path = Scratch(spark).path("matrix.csv")
     writers.write_delimited(records(spark, d).select("record_id", "classification", "neszumjoboside", "rolmabmuposide"), path)
     return readers.read_matrix(spark, path, ["classification"], "record_id")
 
@@ -185,7 +179,7 @@ def s20w(spark, d):
 
 @R.add("R13_typed_keep_list", "SELECT DISTINCT trim(name) AS name FROM hmdb_metabolites WHERE length(trim(name)) >= 3")
 def r13(spark, d):
-    path = f"{_folder(spark)}/keep-{abs(hash(d))}.tsv"
+    path = Scratch(spark).path("keep.tsv")
     t = table(spark, d, "hmdb_metabolites").select(F.lit("").alias("HMDB_ID"), F.col("name").alias("Name"), F.lit("").alias("Synonyms"))
     writers.write_delimited(t, path, "\t")
     return readers.read_keep_list(spark, path)

@@ -29,14 +29,16 @@ class Scratch:
     """Tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     A written table survives the loss of executors, is compressed and can be pruned, which the
-    binary files of ``checkpoint()`` can't. Only where the setting is absent (tests) a local folder
-    is made. ``drop`` removes a table as soon as nothing reads it any more; what a lazily returned
+    binary files of ``checkpoint()`` can't. Only where the setting is absent and the master is local (tests) a local folder
+    is made; on a cluster a folder of one machine would lose tables with it, so that is an error. ``drop`` removes a table as soon as nothing reads it any more; what a lazily returned
     result still needs is removed when the JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="assaylake-")
             spark.conf.set("spark.checkpoint.dir", base)
@@ -45,6 +47,10 @@ class Scratch:
         self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path(self.base))
 
+    def path(self, name: str) -> str:
+        """Where a table or file of this name is; it is removed like the tables."""
+        return f"{self.base}/{name}"
+
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Materialise ``df`` as a table and return a scan of it."""
         path = f"{self.base}/{name}"

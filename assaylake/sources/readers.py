@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assaylake.common import col
 from assaylake.functions import names as N
+from assaylake.operators.matching import injection_order
 
 AREA = "Area:"
 
@@ -100,13 +102,20 @@ def read_batch_file(spark: SparkSession, path: str, with_name: bool = True) -> D
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(name, injection_order, created) of the earliest run per cleaned file name; dates that can't be read come last."""
     df = read_text_table(spark, path)
-    runs = df.select(N.clean_name(F.col("File Name")).alias("name"), F.try_to_timestamp("Creation Date", F.lit("dd-MM-yyyy HH:mm:ss")).alias("created"))
-    first = runs.groupBy("name").agg(F.min("created").alias("created"))
-    return first.withColumn("injection_order", F.row_number().over(Window.orderBy(F.asc_nulls_last("created"), "name")) - 1)
+    runs = df.select("File Name", F.try_to_timestamp("Creation Date", F.lit("dd-MM-yyyy HH:mm:ss")).alias("created"))
+    return injection_order(runs, N.clean_name(F.col("File Name")), "created", keep_date=True).select("name", F.col("at").alias("created"), "injection_order")
+
+
+def batch_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = ("_NEG.csv", "_POS.csv")) -> DataFrame:
+    """(batch, file) of the input files in the batch folders, on any file system; only names are listed, nothing is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("file"))
+    name = F.element_at(F.split("file", "/"), -1)
+    ends = [F.endswith(name, F.lit(s)) for s in suffixes]
+    return found.where(reduce(lambda a, b: a | b, ends)).select(F.element_at(F.split("file", "/"), -2).alias("batch"), "file")
 
 
 def discover_batches(folder: str, suffixes: Sequence[str] = ("_NEG.csv", "_POS.csv")) -> dict[str, list[str]]:
-    """Batch folder -> its input files, for folders that have at least one."""
+    """R6, R7 on the driver's own disk: batch folder -> its input files, for folders that have at least one."""
     out = {}
     for d in sorted(p for p in Path(folder).iterdir() if p.is_dir()):
         files = sorted(str(f) for f in d.iterdir() if f.name.endswith(tuple(suffixes)))
@@ -198,7 +207,8 @@ def parse_diseases(df: DataFrame, coded: bool = True) -> DataFrame:
 def read_attachments(spark: SparkSession, path: str | None) -> DataFrame:
     """(smp_id, pathway_name, hmdb_id, source); an absent file gives an empty table, rows need an accession and a pathway."""
     schema = "smp_id string, pathway_name string, hmdb_id string, source string"
-    if path is None or not Path(path.removeprefix("file://")).exists():
+    at = None if path is None else spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at is None or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
     df = read_text_table(spark, path, ",")
     get = lambda c: F.nullif(F.trim(col(c)), F.lit("")) if c in df.columns else F.lit(None).cast("string")
@@ -207,13 +217,17 @@ def read_attachments(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def cached(spark: SparkSession, build: Any, source: str, folder: str, version: str = "1") -> DataFrame:
-    """The table that ``build()`` makes of a source file, kept as Parquet under a key of path, size, time and version."""
-    stat = Path(source).stat()
-    key = hashlib.sha256(f"{Path(source).resolve()}|{stat.st_size}|{stat.st_mtime_ns}|{version}".encode()).hexdigest()[:24]
-    path = Path(folder) / key
-    if not (path / "_SUCCESS").exists():
-        build().write.mode("overwrite").parquet(str(path))
-    return spark.read.parquet(str(path))
+    """The table that ``build()`` makes of a source file or folder, kept as Parquet under a key of names, sizes, times and version.
+
+    Both may be on any file system that the executors share.
+    """
+    stat = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    state = stat.select(F.concat_ws("|", "path", "length", "at").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("s")).first().s
+    path = f"{folder.rstrip('/')}/{hashlib.sha256('|'.join([*state, version]).encode()).hexdigest()[:24]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 class Config:
