@@ -238,3 +238,19 @@ def rsd_report(df: DataFrame, qc: str, by: Sequence[str] = ()) -> DataFrame:
     """Relative deviation of the controls per feature."""
     v = F.when(F.col(qc), F.col("value"))
     return df.groupBy(*by, "feature").agg(F.count(v).alias("n"), (F.try_divide(F.stddev_samp(v), F.avg(v)) * 100).alias("rsd"))
+
+
+def calibration_check(z: DataFrame) -> DataFrame:
+    """Per feature the median and the interquartile range of z, which are 0 and 1 in well calibrated normals."""
+    q = z.groupBy("feature").agg(F.percentile("z", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return q.select("feature", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+
+def group_evidence(flags: DataFrame, group: str, pathway: str = "smp_id") -> DataFrame:
+    """Per group the number of flagged pathways and mean, median and largest excess."""
+    return flags.groupBy(group).agg(F.count_distinct(F.when(F.col("flagged"), F.col(pathway))).alias("pathways"), F.avg("excess").alias("mean"), F.percentile("excess", F.lit(0.5)).alias("median"), F.max("excess").alias("most"))
+
+
+def confusion_per(df: DataFrame, by: str, actual: Column, hit: Column) -> DataFrame:
+    """Hits and misses of the actual cases per group."""
+    return df.groupBy(by).agg(F.count_if(actual & hit).alias("tp"), F.count_if(actual & ~hit).alias("fn"))

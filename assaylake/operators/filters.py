@@ -212,3 +212,51 @@ def impute_mean(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def drop_incomplete(df: DataFrame, key: str) -> DataFrame:
     """drop all rows of a feature or sample that has a missing value."""
     return df.join(df.where("value is null").select(key).distinct(), key, "left_anti")
+
+
+def sum_same_named(df: DataFrame, name: str = "name", by: Sequence[str] = ("sample",)) -> DataFrame:
+    """A2: values of features with the same name are summed, missing ones counting 0; a single one stays as it is, also if missing."""
+    one = F.count(F.lit(1)) == 1
+    return df.groupBy(name, *by).agg(F.when(one, F.first("value")).otherwise(F.coalesce(F.sum("value"), F.lit(0.0))).alias("value"))
+
+
+def without_demoted(df: DataFrame, demoted: DataFrame) -> DataFrame:
+    """what is scored: all but the demoted features, which stay in the output elsewhere."""
+    return df.join(demoted.select("feature").distinct(), "feature", "left_anti")
+
+
+def presence(df: DataFrame, group: str) -> DataFrame:
+    """Per feature and group of controls the share of the group's samples with a value, and whether all have one."""
+    n = df.groupBy(group).agg(F.count_distinct("sample").alias("n"))
+    c = df.groupBy("feature", group).agg(F.count("value").alias("c")).join(n, group)
+    return c.select("feature", group, (F.col("c") / F.col("n")).alias("share"), (F.col("c") >= F.col("n")).alias("in_all"))
+
+
+# Parts of names that occur in many compounds and say nothing alone; straight chains in both spellings.
+_CHAINS = "PROPAN BUTAN PENTAN HEXAN HEPTAN OCTAN DECAN DODECAN TETRADECAN HEXADECAN OCTADECAN EICOSAN DOCOSAN TETRACOSAN".split()
+FRAGMENTS = frozenset(
+    ["CARBOXYLIC ACID", "DICARBOXYLIC ACID", "DOCOSAHEXAENOATE", *(f"{c}OIC ACID" for c in _CHAINS), *(f"{c}OATE" for c in _CHAINS)]
+    + "SULFATE SULFONATE SULFITE PHOSPHATE PHOSPHONATE PHOSPHONOOXY PHOSPHOLIPID ACETATE FORMATE BENZOATE GLUCOSIDE GALACTOSIDE RIBOSIDE NUCLEOSIDE HYDROXY METHYL PHENYL BENZYL GLYCEROL".split()
+)
+
+
+def near_misses(dropped: DataFrame, names: DataFrame, norm: Callable[[Column], Column], least: int = 6, longest: int = 80, generic: frozenset[str] = FRAGMENTS) -> DataFrame:
+    """(feature, name) of dropped features that hold a listed name between word boundaries, or stand so within one.
+
+    All dropped features are looked at. Every run of words of the longer text is a key that is joined by equality, so no
+    feature is compared with every name. Texts beyond ``longest`` characters and shorter ones below ``least`` take no part.
+    """
+
+    def runs(df: DataFrame, own: str) -> DataFrame:
+        # Pieces alternate between words and what lies between them; a run begins and ends with a word.
+        pieces = F.filter(F.split(F.col("_t"), "(?<=[A-Z0-9])(?=[^A-Z0-9])|(?<=[^A-Z0-9])(?=[A-Z0-9])"), lambda p: p != "")
+        d = df.where(F.length("_t").between(least, longest)).withColumn("_p", pieces)
+        at = F.filter(F.sequence(F.lit(1), F.size("_p")), lambda i: F.element_at("_p", i).rlike("^[A-Z0-9]"))
+        spans = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j >= i), lambda j: F.array_join(F.slice("_p", i, j - i + 1), ""))))
+        return d.select(own, F.explode(F.array_distinct(spans)).alias("_k")).where(F.length("_k") >= least)
+
+    f = dropped.select("feature").distinct().withColumn("_t", norm(F.col("feature")))
+    n = names.select(norm(F.col("name")).alias("name")).where(F.length("name") >= least).distinct().where(~F.col("name").isin(*generic)).withColumn("_t", F.col("name"))
+    inside = runs(f, "feature").join(n.select("name", F.col("_t").alias("_k")), "_k").select("feature", "name")
+    around = runs(n, "name").join(f.where(F.length("_t").between(least, longest)).select("feature", F.col("_t").alias("_k")), "_k").select("feature", "name")
+    return inside.unionByName(around).distinct()

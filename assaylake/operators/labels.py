@@ -18,25 +18,19 @@ def is_normal(classification: Column, oordeel: Column) -> Column:
     return F.coalesce((classification == 0) & (oordeel == 0), F.lit(False))
 
 
-def group_of(classification: Column, oordeel: Column, imd_requires_oordeel: bool = False) -> Column:
-    """normal, imd or other; being normal overrides."""
+def group_of(classification: Column, oordeel: Column, imd_requires_oordeel: bool = False, non_treated: Column | None = None) -> Column:
+    """Normal, imd or other; being normal overrides.
+
+    With ``non_treated`` only untreated patients (label 1) are imd; a missing label is no proof. Without that column the rule rests.
+    """
     imd = F.coalesce(classification == 1, F.lit(False))
+    if non_treated is not None:
+        imd = imd & F.coalesce(non_treated == 1, F.lit(False))
     if imd_requires_oordeel:
         imd = imd & F.coalesce(oordeel == 1, F.lit(False))
     return F.when(is_normal(classification, oordeel), "normal").when(imd, "imd").otherwise("other")
 
 
-def group_by_treatment(classification: Column, oordeel: Column, non_treated: Column | None) -> Column:
-    """L8 by treatment: normal, imd or other, where only untreated patients are imd.
-
-    A patient counts as imd with classification 1 and an untreated label of 1; a missing treatment label is no proof. Without
-    that label at all both other labels must be 1. Being normal overrides.
-    """
-    proof = F.coalesce(non_treated == 1, F.lit(False)) if non_treated is not None else F.coalesce(oordeel == 1, F.lit(False))
-    imd = F.coalesce(classification == 1, F.lit(False)) & proof
-    return F.when(is_normal(classification, oordeel), "normal").when(imd, "imd").otherwise("other")
-
-
 def lab_role(classification: Column, oordeel: Column, non_treated: Column | None = None) -> Column:
     """outlier, inlier or gray; NULL if a label is missing. Without the third label two suffice for an outlier."""
     both = (classification == 1) & (oordeel == 1)
@@ -87,3 +81,26 @@ def error_lists(df: DataFrame) -> DataFrame:
     """Rows with (role, flagged) that are missed outliers (fn), flagged inliers (fp) or flagged gray ones."""
     kind = F.when((F.col("role") == "outlier") & ~F.col("flagged"), "fn").when((F.col("role") == "inlier") & F.col("flagged"), "fp").when((F.col("role") == "gray") & F.col("flagged"), "gray")
     return df.withColumn("list", kind).where("list is not null")
+
+
+def roles_by_sample(df: DataFrame, groups: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Add ``role`` by the labels (key, classification, oordeel) of each sample; samples with a missing label drop out."""
+    known = groups.where("classification is not null and oordeel is not null")
+    return df.join(known.select(key, lab_role(F.col("classification"), F.col("oordeel")).alias("role")), key)
+
+
+def with_batch(df: DataFrame, batches: DataFrame, key: str = "sample", unknown: str = "unknown") -> DataFrame:
+    """M3: add ``batch_label`` from (key, batch), ``unknown`` for samples that no batch lists."""
+    return df.join(batches.select(key, F.col("batch").cast("string").alias("batch_label")), key, "left").withColumn("batch_label", F.coalesce("batch_label", F.lit(unknown)))
+
+
+def half_summary(decisions: DataFrame, prefix_column: str = "is_validation") -> DataFrame:
+    """Per half of a split the number of normals, their flag rate and how many each channel flags; ``decisions`` has (grp, flagged, pathway_flag, biomarker_flag)."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = decisions.where(F.col("grp") == "normal").groupBy(prefix_column)
+    return n.agg(F.count(F.lit(1)).alias("n_normals"), F.avg(yes("flagged").cast("int")).alias("flag_rate"), F.count_if(yes("pathway_flag")).alias("flagged_pathway"), F.count_if(yes("biomarker_flag")).alias("flagged_biomarker"))
+
+
+def missed(decisions: DataFrame) -> DataFrame:
+    """Validation samples of the group imd that weren't flagged."""
+    return decisions.where((F.col("grp") == "imd") & F.coalesce("is_validation", F.lit(False)) & ~F.coalesce("flagged", F.lit(False)))

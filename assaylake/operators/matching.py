@@ -179,3 +179,47 @@ def injection_order(runs: DataFrame, clean: Column, date: str, keep_date: bool =
     timed = first.withColumn("_t", F.unix_micros(F.col("at").cast("timestamp")))
     out = numbered(timed, [], ranges_of(timed, "_t"), [F.asc_nulls_last("_t"), F.col("name")], "_n")
     return out.select("name", (F.col("_n") - 1).cast(kind).alias("injection_order"), *(["at"] if keep_date else []))
+
+
+# Words in the names of pathways that describe one disease.
+SPECIFIC = ("deficiency", "disease", "aciduria")
+
+
+def representatives(groups: DataFrame, sizes: DataFrame, names: DataFrame, specific: Sequence[str] = SPECIFIC) -> DataFrame:
+    """Q20: (key, represented_by): of each component the general name first, then the larger set, then the first name, then the first key.
+
+    ``groups`` has (key, component), ``sizes`` (key, n), ``names`` (key, name); a missing name is the key itself.
+    """
+    g = groups.join(sizes, "key", "left").join(names.groupBy("key").agg(F.min("name").alias("name")), "key", "left")
+    name = F.coalesce("name", F.col("key").cast("string"))
+    special = F.exists(F.array(*map(F.lit, specific)), lambda w: F.contains(F.lower(name), w))
+    best = g.groupBy("component").agg(F.min(F.struct(special.cast("int").alias("s"), (-F.coalesce("n", F.lit(0))).alias("n"), name.alias("name"), F.col("key").alias("key"))).alias("best"))
+    return groups.join(best.select("component", F.col("best.key").alias("represented_by")), "component").select("key", "represented_by")
+
+
+def merge_batches(cells: DataFrame, features: DataFrame, threshold: float = 0.02, drop: Sequence[str] = ("expqc",), sample_name: str = "sample_name") -> tuple[DataFrame, DataFrame]:
+    """M7, M8: (values of features in several batches, values of features in one batch only) of batches put together.
+
+    ``cells`` has (feature, sample, batch, sample_name, value), ``features`` (batch_pos, feature, base, rt, row) of all batches. Features whose
+    retention times chain get one name (J7), their values are averaged within a sample (J8), samples whose name holds one of ``drop`` are
+    left out (F18), and features of a single batch are split off (F19). Any number of batches takes the same few shuffles.
+    """
+    from assaylake.operators.filters import batch_specific, drop_samples
+
+    named = rename_and_average(cells, match_retention(features, threshold), ("sample", "batch", sample_name))
+    return batch_specific(drop_samples(named, sample_name, drop))
+
+
+def align(values: DataFrame, metadata: DataFrame, key: str = "sample") -> tuple[DataFrame, DataFrame]:
+    """Both tables reduced to the samples that both hold."""
+    return values.join(metadata.select(key).distinct(), key, "left_semi"), metadata.join(values.select(key).distinct(), key, "left_semi")
+
+
+def scored_links(links: DataFrame, scored: DataFrame) -> DataFrame:
+    """(smp_id, hmdb_id, n) of links to scored pathways with the number of scores."""
+    return links.join(scored.groupBy("smp_id").agg(F.count(F.lit(1)).alias("n")), "smp_id").select("smp_id", "hmdb_id", "n")
+
+
+def replace_by_panels(scores: DataFrame, panels: DataFrame) -> DataFrame:
+    """Scores of pathways that no panel replaces."""
+    return scores.join(panels.where("smp_id is not null").select("smp_id").distinct(), "smp_id", "left_anti")

@@ -105,6 +105,28 @@ def log_ratio(df: DataFrame, name: str, numerator: Sequence[str], denominator: S
     return s.select(key, F.lit(name).alias("feature"), value.alias("value"))
 
 
+def derive_ratios(df: DataFrame, specs: Sequence[dict], key: str) -> tuple[DataFrame, DataFrame]:
+    """Q18: (``df`` with one more feature for each ratio, audit of (name, numerator, denominator, status)).
+
+    A spec has a name, and a feature or list of features as numerator and denominator; values are log10, lists are summed before
+    the logarithm. Names are checked against the features of ``df`` only. The status is derived, incomplete_spec, name_collision or
+    missing_parent with the absent features.
+    """
+    # The four words of the status.
+    terms = lambda v: [] if v is None else [v] if isinstance(v, str) else list(v)
+    asked = {t for s in specs for t in (s.get("name"), *terms(s.get("numerator")), *terms(s.get("denominator"))) if t}
+    have = {r.feature for r in df.where(F.col("feature").isin(*asked)).select("feature").distinct().collect()} if asked else set()
+    out, audit = df, []
+    for s in specs:
+        name, a, b = str(s.get("name") or "").strip(), terms(s.get("numerator")), terms(s.get("denominator"))
+        absent = [t for t in (*a, *b) if t not in have]
+        status = "incomplete_spec" if not (name and a and b) else "name_collision" if name in have else f"missing_parent: {','.join(absent)}" if absent else "derived"
+        audit.append((name, "+".join(a), "+".join(b), status))
+        if status == "derived":
+            out = out.unionByName(log_ratio(df, name, a, b, key), allowMissingColumns=True)
+    return out, df.sparkSession.createDataFrame(audit, "name string, numerator string, denominator string, status string")
+
+
 def positions(df: DataFrame, order: str, tie: str, by: Sequence[str] = ("batch",)) -> DataFrame:
     """``position`` 0.. within a batch by injection order, missing ones last, ties by ``tie``; -1 sorts first as a number."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(order), F.asc(tie))) - 1)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.common import hot_keys
 from assaylake.session import Scratch
 
 #: Ranges of the ordering value; their totals are all that is ordered globally.
@@ -105,3 +106,47 @@ def percentiles(df: DataFrame, x: str, probabilities: Sequence[float], names: Se
     one = j.agg(F.max("n").alias("n"), *found)
     share = [F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probabilities]
     return one.select(*[F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise(F.col(f"a{i}") * (1 - s) + F.col(f"b{i}") * s).alias(n) for i, (s, n) in enumerate(zip(share, names, strict=True))])
+
+
+#: A group's distinct values are gathered in one task up to this many rows, or 1 / 1000 of all rows; a larger group is cut into ranges.
+GATHERED_ROWS = 5_000_000
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probabilities: Sequence[float], names: Sequence[str], hot_rows: int = GATHERED_ROWS) -> DataFrame:
+    """(keys..., names...): exact percentiles per group, interpolated linearly; a group without values has NULLs, NULL is a group.
+
+    ``df`` is read several times, so it is best a written table. Of a hot group only the ranges that hold a wanted rank are ordered,
+    and equal values are counted before, so no task holds the group.
+    """
+    spark = df.sparkSession
+    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], value.cast("double").alias("v"))
+    own = [f"k{i}" for i in range(len(keys))]
+    hot = Scratch(spark).write(hot_keys(rows.where("v is not null"), own, hot_rows).select(*own), "hot")
+    back = [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
+    plain = lambda d: d.groupBy(*own).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")).select(*back, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    if hot.isEmpty():
+        return plain(rows)
+    same = [F.col(o).eqNullSafe(F.col(f"h{o}")) for o in own]
+    named = hot.select(*[F.col(o).alias(f"h{o}") for o in own])
+    cold = rows.join(F.broadcast(named), same, "left_anti")
+    large = rows.where("v is not null").join(F.broadcast(named), same, "left_semi")
+    bounds = large.groupBy(*own).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("bounds")).select(*[F.col(o).alias(f"h{o}") for o in own], "bounds")
+    ranged = large.join(F.broadcast(bounds), same).select(*own, F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("r"), "v")
+    per = Scratch(spark).write(ranged.groupBy(*own, "r", "v").agg(F.count(F.lit(1)).alias("c")), "counts")
+    group = Window.partitionBy(*own)
+    sums = per.groupBy(*own, "r").agg(F.sum("c").alias("all")).withColumn("n", F.sum("all").over(group)).withColumn("before", F.coalesce(F.sum("all").over(group.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    # At most two ranges for each percentile of each hot group.
+    wanted = sums.withColumn("ranks", F.filter(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("all")))).where(F.size("ranks") > 0)
+    wanted = wanted.select(*[F.col(o).alias(f"h{o}") for o in own], F.col("r").alias("hr"), "before", "n", "ranks")
+    found = per.join(F.broadcast(wanted), [*same, F.col("r") == F.col("hr")])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*own, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("upto", upto).withColumn("k", F.explode("ranks")).where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("c")))
+    one = found.groupBy(*own).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("at"))
+    outs = []
+    for a, n in zip(at, names, strict=True):
+        low, high = F.col("at")[F.floor(a).cast("long")], F.col("at")[F.ceil(a).cast("long")]
+        share = a - F.floor(a)
+        outs.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(n))
+    return plain(cold).unionByName(one.select(*back, *outs))

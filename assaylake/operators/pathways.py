@@ -14,18 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from assaylake.operators.ordered import empirical_p
+from assaylake.operators.ordered import empirical_p, group_percentiles
 from assaylake.session import Scratch
 
 
 def reference_stats(df: DataFrame, normal: str = "is_normal", method: str = "iqr") -> DataFrame:
     """(feature, median, scale, n_normal_values, p_normal_missing) over the normals; scale is IQR or population sd."""
+    df = Scratch(df.sparkSession).write(df.select("feature", "sample", "value", normal), "values")
     v = F.when(F.col(normal), F.col("value"))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = group_percentiles(df, ["feature"], v, [0.25, 0.5, 0.75], ["low", "median", "high"]).withColumnRenamed("feature", "_f")
     n = df.where(F.col(normal)).agg(F.count_distinct("sample").alias("normals"))
-    s = df.groupBy("feature").agg(q.alias("q"), F.stddev_pop(v).alias("sd"), F.count(v).alias("n_normal_values")).crossJoin(F.broadcast(n))
-    spread = F.col("q")[2] - F.col("q")[0] if method == "iqr" else F.col("sd")
-    return s.select("feature", F.col("q")[1].alias("median"), spread.alias("scale"), "n_normal_values", (1 - F.try_divide("n_normal_values", "normals")).alias("p_normal_missing"))
+    s = df.groupBy("feature").agg(F.stddev_pop(v).alias("sd"), F.count(v).alias("n_normal_values")).crossJoin(F.broadcast(n))
+    s = s.join(q, F.col("feature").eqNullSafe(F.col("_f")))
+    spread = F.col("high") - F.col("low") if method == "iqr" else F.col("sd")
+    return s.select("feature", "median", spread.alias("scale"), "n_normal_values", (1 - F.try_divide("n_normal_values", "normals")).alias("p_normal_missing"))
 
 
 def calibration_reason(least_scale: float = 0.0) -> Column:
@@ -85,8 +87,8 @@ def panel_scores(z: DataFrame, members: DataFrame, least: int = 2) -> DataFrame:
 
 def normal_percentiles(scores: DataFrame, keys: Sequence[str], score: str, normal: str, probabilities: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles of the normals per key, as columns p50, p95, ..."""
-    q = F.percentile(F.when(F.col(normal), F.abs(score)), F.array(*map(F.lit, probabilities)))
-    return scores.groupBy(*keys).agg(q.alias("q")).select(*keys, *[F.col("q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probabilities)])
+    rows = Scratch(scores.sparkSession).write(scores.select(*keys, F.when(F.col(normal), F.abs(score)).alias("_v")), "values")
+    return group_percentiles(rows, keys, F.col("_v"), probabilities, [f"p{round(p * 100)}" for p in probabilities])
 
 
 def threshold_flags(scores: DataFrame, keys: Sequence[str], score: str, normal: str, probability: float = 0.95) -> DataFrame:
@@ -94,7 +96,9 @@ def threshold_flags(scores: DataFrame, keys: Sequence[str], score: str, normal:
 
     A NULL score isn't flagged; at threshold 0 a positive score has infinite excess and a zero score none.
     """
-    t = scores.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col(normal), F.abs(score)), F.lit(probability)), F.lit(float("inf"))).alias("threshold"))
+    # Thresholds and flags both read the scores, which are often dear to make.
+    scores = Scratch(scores.sparkSession).write(scores, "scores")
+    t = group_percentiles(scores, keys, F.when(F.col(normal), F.abs(score)), [probability], ["threshold"]).withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
     x = F.abs(score)
     excess = F.when(F.col("threshold") == 0, F.when(x > 0, F.lit(float("inf")))).otherwise(F.try_divide(x, "threshold"))
     return scores.join(t, list(keys)).withColumn("excess", excess).withColumn("flagged", F.coalesce(F.col("excess") > 1, F.lit(False)))
@@ -217,3 +221,23 @@ def hygiene(df: DataFrame, most_depth: float = 10.0, rounds: int = 10, cap_share
         out = new if out is None else out.unionByName(new)
         left = scratch.write(left.join(new.select("sample"), "sample", "left_anti"), f"left{r}")
     return out if out is not None else df.sparkSession.createDataFrame([], f"sample {dict(df.dtypes)['sample']}, depth double, round int")
+
+
+def with_thresholds(scores: DataFrame, reference: DataFrame, threshold: str, score: str = "score") -> DataFrame:
+    """Scores beside the published threshold of their pathway, flagged beyond it; without a threshold nothing is flagged."""
+    return scores.join(reference.select("smp_id", threshold), "smp_id", "left").withColumn("flagged", F.coalesce(F.col(score) > F.col(threshold), F.lit(False)))
+
+
+def attachment_flags(z: DataFrame, attachments: DataFrame, samples: DataFrame, normal: str = "is_normal", probability: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """Q9: flags through attached markers: (per sample, pathway and marker, per sample).
+
+    ``z`` has (sample, hmdb_id, z) of metabolites, ``attachments`` (smp_id, hmdb_id), ``samples`` (sample, is_normal). A marker is flagged beyond
+    the percentile of the normals' |z|; the summary has the number of flagged markers, the largest |z| with its marker, and the
+    share of normals whose largest |z| is as large.
+    """
+    pairs = attachments.where("smp_id is not null and hmdb_id is not null").select("smp_id", "hmdb_id").distinct()
+    own = z.join(pairs.select("hmdb_id").distinct(), "hmdb_id", "left_semi").join(samples.select("sample", F.col(normal).alias("_null")), "sample")
+    flags = threshold_flags(own, ["hmdb_id"], "z", "_null", probability)
+    per = flags.join(pairs, "hmdb_id").select("sample", "smp_id", "hmdb_id", F.abs("z").alias("abs_z"), "threshold", "excess", "flagged")
+    summary = depth(flags.select("sample", F.col("hmdb_id").alias("name"), "z", "flagged"), samples, normal)
+    return per, summary.withColumn("biomarker_flagged", F.coalesce(F.col("n_flagged") >= 1, F.lit(False)))

@@ -79,6 +79,7 @@ def screen_pathways(cells: DataFrame, labels: DataFrame, names: DataFrame, edges
     scratch = Scratch(cells.sparkSession)
     groups = L.stratified_split(labels.withColumn("grp", L.group_of(F.col("classification"), F.col("oordeel"))), "sample", "grp", s.fraction, s.seed)
     groups = scratch.write(groups.withColumn("is_normal", (F.col("grp") == "normal") & ~F.col("is_validation")), "groups")
+    called = scratch.write((edges.select(F.col("smp_id").alias("key"), F.col("pathway_name").alias("name")) if "pathway_name" in edges.columns else edges.select(F.col("smp_id").alias("key"), F.col("smp_id").alias("name"))).distinct(), "called")
     edges = scratch.write(edges.select("smp_id", "hmdb_id").distinct(), "edges")
     matched = scratch.write(M.match_features(cells.select("feature"), M.name_index(names)), "matched")
     kept, dropped = M.supersede_plain(matched)
@@ -92,8 +93,7 @@ def screen_pathways(cells: DataFrame, labels: DataFrame, names: DataFrame, edges
     scored = scratch.write(P.usable_pathways(links, z, s.least_metabolites), "scored")
     members = links.join(scored.select("smp_id"), "smp_id", "left_semi")
     groups_of = M.components(scored.select(F.col("smp_id").alias("key")), M.similar_sets(members, "smp_id", "hmdb_id", s.similar).select("a", "b"))
-    size = scored.join(groups_of.withColumnRenamed("key", "smp_id"), "smp_id")
-    chosen = size.groupBy("component").agg(F.min_by("smp_id", F.struct((-F.col("n_usable")).alias("n"), "smp_id")).alias("smp_id"))
+    chosen = M.representatives(groups_of, scored.select(F.col("smp_id").alias("key"), F.col("n_usable").alias("n")), called).select(F.col("represented_by").alias("smp_id")).distinct()
     members = scratch.write(members.join(chosen.select("smp_id"), "smp_id", "left_semi"), "members")
     w = stats.select("feature", (F.col("scale") * F.col("scale")).alias("weight"))
     scores = P.stouffer(z, members, v.select("sample"), s.least_metabolites, w, s.cap).join(groups.select("sample", "is_normal"), "sample")

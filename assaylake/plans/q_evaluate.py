@@ -9,6 +9,7 @@ from assaylake.common import table
 from assaylake.operators import effects as B
 from assaylake.operators import evaluate as E
 from assaylake.operators import figures as V
+from assaylake.operators import filters
 from assaylake.operators import labels as L
 from assaylake.operators import ordered as O
 from assaylake.operators import pathways as P
@@ -84,8 +85,7 @@ def j24(spark, d):
 @R.add("M13_presence", f"{_M} SELECT feature, is_bridge, round(count(value) / (SELECT count(DISTINCT sample) FROM matrix x WHERE x.is_bridge = m.is_bridge), 7) AS share FROM matrix m GROUP BY 1, 2")
 def m13(spark, d):
     m = matrix(spark, d)
-    n = m.groupBy("is_bridge").agg(F.count_distinct("sample").alias("n"))
-    return m.groupBy("feature", "is_bridge").agg(F.count("value").alias("c")).join(n, "is_bridge").select("feature", "is_bridge", F.round(F.col("c") / F.col("n"), 7).alias("share"))
+    return filters.presence(m, "is_bridge").select("feature", "is_bridge", F.round("share", 7).alias("share"))
 
 
 @R.add("A23_breakdown", f"{_R} SELECT classification, oordeel_targeted, non_treated, count(*) AS n, count(*) FILTER (neszumjoboside > 5) AS flagged, round(count(*) FILTER (neszumjoboside > 5) / count(*), 8) AS rate FROM records GROUP BY 1, 2, 3")
@@ -127,8 +127,7 @@ def a29(spark, d):
 
 @R.add("A30_calibration_check", f"{_V} SELECT feature, round(quantile_cont(z, 0.5), 6) AS mid, round(quantile_cont(z, 0.75) - quantile_cont(z, 0.25), 6) AS iqr FROM z GROUP BY 1")
 def a30(spark, d):
-    q = _z(spark, d).groupBy("feature").agg(F.percentile("z", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("feature", F.round(F.col("q")[1], 6).alias("mid"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
+    return E.calibration_check(_z(spark, d)).select("feature", F.round("mid", 6).alias("mid"), F.round("iqr", 6).alias("iqr"))
 
 
 @R.add("A31_drift_stats", f"""{_S}, t AS (SELECT quantile_cont(score, 0.05) FILTER (is_normal) AS cut, avg(score) FILTER (is_normal) AS base FROM sc), c AS (SELECT s.cohort, sc.* FROM sc JOIN scores s USING (score_id))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaylake.common import latest_version, table
 from assaylake.functions import names as N
+from assaylake.operators import filters
 from assaylake.operators import matching as M
 from assaylake.operators import normalise as X
 from assaylake.plans.registry import Registry
@@ -36,7 +37,7 @@ def a1b(spark, d):
 @R.add("A02_rotamer_sum", f"{_L}, named AS (SELECT split_part(feature, '_', 1) AS name, record_id, value FROM long) SELECT name, record_id, CASE WHEN count(*) = 1 THEN any_value(value) ELSE round(coalesce(sum(value), 0), 8) END AS value FROM named GROUP BY 1, 2")
 def a2(spark, d):
     named = long_records(spark, d).select(F.split_part("feature", F.lit("_"), F.lit(1)).alias("name"), "record_id", "value")
-    return named.groupBy("name", "record_id").agg(F.when(F.count(F.lit(1)) == 1, F.first("value")).otherwise(F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 8)).alias("value"))
+    return filters.sum_same_named(named, "name", ["record_id"])
 
 
 @R.add("A03_sample_median", f"{_M}, m AS (SELECT sample, {_med('value')} AS m FROM matrix GROUP BY 1) SELECT feature, sample, round(value * (SELECT {_med('m')} FROM m) / m, 5) AS value FROM matrix JOIN m USING (sample)")

@@ -10,6 +10,7 @@ from assaylake.operators import evaluate as E
 from assaylake.operators import figures as V
 from assaylake.operators import filters as X
 from assaylake.operators import labels as L
+from assaylake.operators import matching as M
 from assaylake.operators import tuning as T
 from assaylake.plans.q_evaluate import _vectors
 from assaylake.plans.q_pathways import _F, _S, _flags, _scored, _summary
@@ -76,22 +77,21 @@ def f25(spark, d):
 
 @R.add("F29_demoted", f"{_M} SELECT feature, sample FROM matrix WHERE feature NOT IN (SELECT DISTINCT p_brand || ' ' || p_type FROM part WHERE p_size = 1)")
 def f29(spark, d):
-    out = table(spark, d, "part").where("p_size = 1").select(F.concat_ws(" ", "p_brand", "p_type").alias("feature")).distinct()
-    return matrix(spark, d).join(out, "feature", "left_anti").select("feature", "sample")
+    out = table(spark, d, "part").where("p_size = 1").select(F.concat_ws(" ", "p_brand", "p_type").alias("feature"))
+    return X.without_demoted(matrix(spark, d), out).select("feature", "sample")
 
 
 @R.add("J19_scored_links", f"{_S}, e AS (SELECT DISTINCT smp_id, hmdb_id FROM biomarker_attachments WHERE hmdb_id IS NOT NULL AND smp_id IS NOT NULL) SELECT smp_id, hmdb_id, count(*) AS n FROM sc JOIN e USING (smp_id) WHERE score IS NOT NULL GROUP BY 1, 2")
 def j19(spark, d):
     e = table(spark, d, "biomarker_attachments").where("hmdb_id is not null and smp_id is not null").select("smp_id", "hmdb_id").distinct()
-    n = _scored(spark, d).where("score is not null").groupBy("smp_id").agg(F.count(F.lit(1)).alias("n"))
-    return e.join(n, "smp_id").select("smp_id", "hmdb_id", "n")
+    return M.scored_links(e, _scored(spark, d).where("score is not null"))
 
 
 @R.add("J21_roles", f"""{_SC}, {SQL_RECORDS}, g AS (SELECT sample_id, max(classification) AS c, max(oordeel_targeted) AS o FROM records WHERE sample_id IS NOT NULL GROUP BY 1)
     SELECT score_id, CASE WHEN c = 0 AND o = 0 THEN 'inlier' WHEN c = 1 AND o = 1 THEN 'outlier' ELSE 'gray' END AS role FROM scores JOIN g USING (sample_id) WHERE c IS NOT NULL AND o IS NOT NULL""")
 def j21(spark, d):
-    g = records(spark, d).where("sample_id is not null").groupBy("sample_id").agg(F.max("classification").alias("c"), F.max("oordeel_targeted").alias("o"))
-    return scores(spark, d).join(g.where("c is not null and o is not null"), "sample_id").select("score_id", L.lab_role(F.col("c"), F.col("o")).alias("role"))
+    g = records(spark, d).where("sample_id is not null").groupBy("sample_id").agg(F.max("classification").alias("classification"), F.max("oordeel_targeted").alias("oordeel"))
+    return L.roles_by_sample(scores(spark, d), g).select("score_id", "role")
 
 
 @R.add("J26_merge_decisions", f"{_F}, a AS (SELECT sample_id, bool_or(flagged) AS pathway_flag FROM flags GROUP BY 1), b AS (SELECT DISTINCT sample_id FROM merged_data_with_classification WHERE classification = 1) SELECT sample_id, pathway_flag OR sample_id IN (SELECT sample_id FROM b WHERE sample_id IS NOT NULL) AS flagged FROM a")
@@ -104,7 +104,7 @@ def j26(spark, d):
 @R.add("A22_group_evidence", f"{_F}, g AS (SELECT CASE WHEN is_normal THEN 'normal' ELSE 'other' END AS grp, * FROM flags) SELECT grp, count(DISTINCT smp_id) FILTER (flagged) AS pathways, round(avg(excess), 2) AS mean, round(quantile_cont(excess, 0.5), 2) AS median, round(max(excess), 2) AS most FROM g GROUP BY 1")
 def a22(spark, d):
     f = _flags(spark, d).withColumn("grp", F.when(F.col("is_normal"), "normal").otherwise("other"))
-    return f.groupBy("grp").agg(F.count_distinct(F.when(F.col("flagged"), F.col("smp_id"))).alias("pathways"), F.round(F.avg("excess"), 2).alias("mean"), F.round(F.percentile("excess", F.lit(0.5)), 2).alias("median"), F.round(F.max("excess"), 2).alias("most"))
+    return E.group_evidence(f, "grp").select("grp", "pathways", *[F.round(c, 2).alias(c) for c in ("mean", "median", "most")])
 
 
 @R.add("A27_mean_per_key", f"{_SC} SELECT sample_id, smp_id, round(avg(z_stouffer), 7) AS z, round(avg(z_stouffer_abs), 7) AS a FROM scores WHERE sample_id IS NOT NULL GROUP BY 1, 2")
@@ -132,7 +132,7 @@ def v3(spark, d):
 @R.add("V10_confusion_per_batch", f"{_R} SELECT batch, count(*) FILTER (classification = 1 AND coalesce(neszumjoboside > 5, false)) AS tp, count(*) FILTER (classification = 1 AND NOT coalesce(neszumjoboside > 5, false)) AS fn FROM records WHERE classification IS NOT NULL GROUP BY 1")
 def v10(spark, d):
     hit = F.coalesce(F.col("neszumjoboside") > 5, F.lit(False))
-    return records(spark, d).where("classification is not null").groupBy("batch").agg(F.count_if((F.col("classification") == 1) & hit).alias("tp"), F.count_if((F.col("classification") == 1) & ~hit).alias("fn"))
+    return E.confusion_per(records(spark, d).where("classification is not null"), "batch", F.col("classification") == 1, hit)
 
 
 @R.add("T14_markers_per_pathway", "SELECT smp_id, count(DISTINCT hmdb_id) AS n FROM biomarker_attachments GROUP BY 1")

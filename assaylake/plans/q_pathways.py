@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.common import table
+from assaylake.operators import matching as M
 from assaylake.operators import ordered as O
 from assaylake.operators import pathways as P
 from assaylake.plans.registry import Registry
@@ -157,9 +158,11 @@ def q10c(spark, d):
     return P.decide(_summary(spark, d), "is_normal", "none", least=2).select("sample_id", "decision")
 
 
-@R.add("Q11_rule_binomial")
+@R.add("Q11_rule_binomial", f"""{_SUM}, k AS (SELECT DISTINCT n_flagged, n_scored FROM summary), term AS (SELECT k.*, unnest(range(n_flagged, n_scored + 1)) AS i FROM k),
+    p AS (SELECT n_flagged, n_scored, CASE WHEN n_flagged <= 0 THEN 1.0 ELSE least(1.0, sum(exp(lgamma(n_scored + 1.0) - lgamma(i + 1.0) - lgamma(n_scored - i + 1.0) + i * ln(0.05) + (n_scored - i) * ln(0.95)))) END AS p FROM term GROUP BY 1, 2)
+    SELECT sample_id, s.n_flagged, s.n_scored, round(p, 8) AS sample_p_value, s.n_flagged >= 1 AND p <= 0.05 AS decision FROM summary s JOIN p USING (n_flagged, n_scored)""")
 def q11(spark, d):
-    return P.decide(_summary(spark, d), "is_normal", "binomial", rate=0.05).select("sample_id", "n_flagged", "n_scored", "sample_p_value", "decision")
+    return P.decide(_summary(spark, d), "is_normal", "binomial", rate=0.05).select("sample_id", "n_flagged", "n_scored", F.round("sample_p_value", 8).alias("sample_p_value"), "decision")
 
 
 @R.add("A21_depth", f"""{_V}, s AS (SELECT sample, bool_or(is_normal) AS is_normal, max(abs(z)) AS m, count(*) FILTER (abs(z) > 3) AS n_flagged, arg_max(feature, (abs(z), feature)) AS top_name FROM z GROUP BY 1)
@@ -185,13 +188,13 @@ def q8(spark, d):
 
 @R.add("J22_panel_replaces", f"{_S} SELECT score_id FROM sc WHERE smp_id NOT IN (SELECT DISTINCT smp_id FROM biomarker_attachments WHERE smp_id IS NOT NULL)")
 def j22(spark, d):
-    return _scored(spark, d).join(table(spark, d, "biomarker_attachments").select("smp_id").where("smp_id is not null").distinct(), "smp_id", "left_anti").select("score_id")
+    return M.replace_by_panels(_scored(spark, d), table(spark, d, "biomarker_attachments")).select("score_id")
 
 
 @R.add("J20_threshold_join", f"""{_S}, ref AS (SELECT smp_id, max(normal_z_stouffer_abs_p95) AS p95 FROM pathway_stouffer_reference WHERE NOT isnan(normal_z_stouffer_abs_p95) GROUP BY 1) SELECT score_id, p95, coalesce(score > p95, false) AS flagged FROM sc LEFT JOIN ref USING (smp_id)""")
 def j20(spark, d):
     ref = table(spark, d, "pathway_stouffer_reference").where("not isnan(normal_z_stouffer_abs_p95)").groupBy("smp_id").agg(F.max("normal_z_stouffer_abs_p95").alias("p95"))
-    return _scored(spark, d).join(ref, "smp_id", "left").select("score_id", "p95", F.coalesce(F.col("score") > F.col("p95"), F.lit(False)).alias("flagged"))
+    return P.with_thresholds(_scored(spark, d), ref, "p95").select("score_id", "p95", "flagged")
 
 
 @R.add("Q16_hygiene")

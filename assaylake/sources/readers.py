@@ -204,6 +204,11 @@ def parse_diseases(df: DataFrame, coded: bool = True) -> DataFrame:
     return p.select("disease", N.marker_name(F.col("m")).alias("marker"), N.marker_direction(F.col("m")).alias("direction"), ids.alias("hmdb_ids"), "smp_id").where((F.size("hmdb_ids") > 0) == F.lit(coded))
 
 
+def load_run(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of a saved run by name; frames of figures are built again from them without scoring anything."""
+    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}
+
+
 def read_attachments(spark: SparkSession, path: str | None) -> DataFrame:
     """(smp_id, pathway_name, hmdb_id, source); an absent file gives an empty table, rows need an accession and a pathway."""
     schema = "smp_id string, pathway_name string, hmdb_id string, source string"

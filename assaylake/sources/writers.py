@@ -34,6 +34,12 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select([F.array_join(F.col(f"`{c}`").cast("array<string>"), ";").alias(c) if c in arrays else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
+def save_run(folder: str, **tables: DataFrame) -> None:
+    """The tables of a run, each under its name, for ``readers.load_run``."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def write_json(values: dict[str, Any], path: str) -> None:
     """Small results from the driver; numpy numbers and arrays become plain ones."""
 

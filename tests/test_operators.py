@@ -224,3 +224,87 @@ def test_grid_search(spark):
     df = spark.createDataFrame([(i, (rng.normal(size=3) + (6 if i % 10 == 0 else 0)).tolist(), i % 10 != 0) for i in range(100)], "id int, vector array<double>, is_normal boolean")
     out = tuning.grid_search(tuning.with_folds(df, 2), "knn", tuning.grid(k=[2, 3]), 2).collect()
     assert len(out) == 2 and out[0].auc > 0.99
+
+
+def test_near_misses_equal_brute_force(spark):
+    import re
+
+    from assaylake.operators.filters import FRAGMENTS, near_misses
+
+    names = ["Cortisol", "Citric acid", "N-Acetylglycine", "Sulfate", "short", "2-Oxo-3-methylvalerate", None]
+    dropped = ["cortisol sulfate", "cortisolone", "plain citric acid (x)", "acetylglycine", "3-methylvalerate", "methylvaleratex", "sulfate", "citric  acid", None, "z" * 100 + " cortisol"]
+    d, n = spark.createDataFrame([(x,) for x in dropped], "feature string"), spark.createDataFrame([(x,) for x in names], "name string")
+    want = set()
+    for f in filter(None, dropped):
+        for e in (x.upper() for x in names if x and len(x) >= 6 and x.upper() not in FRAGMENTS):
+            short, long = sorted((f.upper(), e), key=len)
+            if len(f) <= 80 and len(short) >= 6 and re.search(r"(?<![A-Z0-9])" + re.escape(short) + r"(?![A-Z0-9])", long):
+                want.add((f, e))
+    assert {(r.feature, r.name) for r in near_misses(d, n, F.upper).collect()} == want and len(want) == 4
+
+
+def test_combat_does_not_depend_on_arrow_batches(spark):
+    import numpy as np
+
+    from assaylake.operators.normalise import combat
+
+    rng = np.random.default_rng(2)
+    rows = [(f"f{i}", s, s % 3, float(rng.normal(i, 1 + s % 3))) for i in range(40) for s in range(30)]
+    df = spark.createDataFrame(rows, "feature string, sample int, batch int, value double")
+    name, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for size in ("1", "10000"):
+        spark.conf.set(name, size)
+        got.append({(r.feature, r.sample): r.value for r in combat(df, floor_at_zero=False).collect()})
+    spark.conf.set(name, before)
+    assert got[0].keys() == got[1].keys() and all(abs(v - got[1][k]) <= 1e-11 * abs(v) for k, v in got[0].items())
+
+
+def test_lowess_by_blocks_is_the_same(spark):
+    import numpy as np
+
+    from assaylake.operators.normalise import lowess
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.integers(0, 90, 60)).astype(float)
+    y = np.sin(x / 9) + rng.normal(scale=0.2, size=60)
+    assert np.allclose(lowess(x, y, 0.4), lowess(x, y, 0.4, numbers=420), rtol=1e-12)
+
+
+@pytest.mark.parametrize("hot_rows", [40, 10**6])
+def test_group_percentiles_of_hot_groups(spark, hot_rows):
+    rng = np.random.default_rng(9)
+    data = {"a": rng.normal(size=900), "same": np.full(400, 2.5), "small": rng.normal(size=5), None: rng.integers(0, 4, 300).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None), ("none", None)], "g string, v double").repartition(5)
+    got = {r.g: r for r in ordered.group_percentiles(df, ["g"], F.col("v"), [0.0, 0.5, 0.95, 1.0], ["a", "b", "c", "d"], hot_rows).collect()}
+    assert set(got) == {*data, "none"} and got["none"].b is None
+    for k, x in data.items():
+        assert np.allclose([got[k][c] for c in "abcd"], np.quantile(x, [0, 0.5, 0.95, 1]), rtol=1e-12), k
+
+
+def test_join_frequent_keeps_rows(spark):
+    from assaylake.common import hot_keys, join_frequent
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 2 else f"k{i % 5}") for i in range(500)], "i int, k string")
+    keyed = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("m"))
+    want = {r.k: r.m for r in keyed.collect()}
+    for least in (10**6, 50, 1):
+        rows = join_frequent(df, keyed, ["k"], least).collect()
+        assert sorted(r.i for r in rows) == list(range(500)) and all(r.m == want[r.k] for r in rows)
+    assert {(r.k, r.salts) for r in hot_keys(df, ["k"], 100).collect()} == {("hot", 3)}
+    assert hot_keys(df.limit(0), ["k"], 1).count() == 0
+
+
+def test_numbers_and_percentiles_without_one_task(spark):
+    import numpy as np
+
+    from assaylake.operators.ordered import numbered, percentiles, ranges_of
+
+    x = np.random.default_rng(6).integers(0, 40, 500).astype(float)
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else float(v)) for i, v in enumerate(x)], "id int, x double").repartition(4)
+    rows = numbered(df, [], ranges_of(df, "x", 7), [F.asc_nulls_last("x"), F.col("id")], "n", "all").collect()
+    want = sorted(range(500), key=lambda i: (i % 50 == 0, x[i] if i % 50 else 0, i))
+    assert [r.id for r in sorted(rows, key=lambda r: r.n)] == want and {r["all"] for r in rows} == {500}
+    one = percentiles(df, "x", [0.0, 0.33, 1.0], ["a", "b", "c"]).first()
+    assert np.allclose(one, np.quantile(x[np.arange(500) % 50 != 0], [0, 0.33, 1]))
+    assert tuple(percentiles(df.where("false"), "x", [0.5], ["m"]).first()) == (None,)
