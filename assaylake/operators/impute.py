@@ -24,12 +24,13 @@ ROUNDING = 1e-6
 HOT_GROUP = 100_000
 
 
-def with_prediction(df: DataFrame, group: Sequence[str], target: str, predictors: Sequence[str], out: str = "prediction") -> DataFrame:
+def with_prediction(df: DataFrame, group: Sequence[str], target: str, predictors: Sequence[str], out: str = "prediction", fit_by: str | None = None) -> DataFrame:
     """Add a column with the group-aware linear prediction of ``target``.
 
     The model is target = group mean + slopes * (predictors - group means), fitted by least squares
     on the rows with an observed target: slopes are shared, intercepts belong to the group. Moments are
-    summed per group and only their total, a matrix as wide as the predictors, reaches the driver.
+    summed per group and only their total, a matrix as wide as the predictors, reaches the driver. ``fit_by`` names one of the group columns with
+    few values, such as the field: each value gets a fit of its own, in the same pass.
 
     Missing (NULL, NaN) predictors count as their group mean; a group without any observed target is
     predicted from the mean of all groups; if no target is observed at all, the prediction is NULL; a NULL
@@ -46,13 +47,16 @@ def with_prediction(df: DataFrame, group: Sequence[str], target: str, predictors
     dy = y - F.col("__y")
     sums = [F.sum(F.when(dy.isNotNull(), dx[i] * dx[j])).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(dx[i] * dy).alias(f"b{i}") for i in range(k)] + [F.avg(y).alias("mean")]
-    m = both.agg(*sums).first().asDict()
-    a = np.array([[m[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]).reshape(k, k)
-    b = np.array([m[f"b{i}"] or 0.0 for i in range(k)])
-    slopes = np.linalg.lstsq(a, b, rcond=None)[0] if k else b
-    pred = F.coalesce(F.col("__y"), F.lit(m["mean"]).cast("double"))
-    for s, d in zip(slopes, dx, strict=True):
-        pred = pred + F.lit(float(s)) * d
+    fits = both.groupBy(*([col(fit_by).alias("fit")] if fit_by is not None else [F.lit(None).cast("string").alias("fit")])).agg(*sums).collect()
+    pred = F.lit(None).cast("double")
+    for m in fits:
+        a = np.array([[m[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]).reshape(k, k)
+        b = np.array([m[f"b{i}"] or 0.0 for i in range(k)])
+        slopes = np.linalg.lstsq(a, b, rcond=None)[0] if k else b
+        p = F.coalesce(F.col("__y"), F.lit(m["mean"]).cast("double"))
+        for s, d in zip(slopes, dx, strict=True):
+            p = p + F.lit(float(s)) * d
+        pred = p if fit_by is None else F.when(col(fit_by).eqNullSafe(F.lit(m["fit"])), p).otherwise(pred)
     return both.withColumn(out, pred).drop("__y", *keys, *[f"__x{j}" for j in range(k)])
 
 
@@ -82,7 +86,8 @@ def nearest_donors(df: DataFrame, row_id: str, group: Sequence[str], value: str,
     # Everything below reads these rows, and the fit behind them is made once.
     scratch = Scratch(df.sparkSession)
     base = scratch.write(base, "base")
-    hot = scratch.write(hot_keys(base, keys, range_rows), "hot")
+    # A table of no more rows has no group to cut.
+    hot = scratch.write(hot_keys(base, keys, range_rows), "hot") if base.count() > range_rows else None
     donors = base.where("v is not null").groupBy(*keys, "p").agg(F.min(F.struct("id", "v", "q")).alias("d"))
     donors = donors.select(*keys, "p", F.col("d.q").alias("q"), F.struct(F.col("p"), F.col("d.id").alias("id"), F.col("d.v").alias("v"), F.col("d.q").alias("q")).alias("d"))
     wanted = base.where("v is null").select("id", *keys, "p", "q")
@@ -90,7 +95,7 @@ def nearest_donors(df: DataFrame, row_id: str, group: Sequence[str], value: str,
     take = wanted.select(*keys, "id", "p", "q", F.lit(None).cast(donors.schema["d"].dataType).alias("d"))
     ready = lambda events: events.withColumn("split", F.lit(False)).withColumn("bucket", F.lit(0))
     events, spans = ready(give.unionByName(take)), None
-    if not hot.isEmpty():
+    if hot is not None and not hot.isEmpty():
         # Recipients of hot groups without any donor drop out before anything is shuffled; the others are cut at quantiles.
         has = base.where("v is not null").join(F.broadcast(hot.select(*keys)), keys, "left_semi").select(*keys).distinct()
         idle = F.broadcast(hot.select(*keys).join(has, keys, "left_anti"))

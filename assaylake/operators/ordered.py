@@ -121,9 +121,12 @@ def group_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probabi
     spark = df.sparkSession
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], value.cast("double").alias("v"))
     own = [f"k{i}" for i in range(len(keys))]
-    hot = Scratch(spark).write(hot_keys(rows.where("v is not null"), own, hot_rows).select(*own), "hot")
     back = [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
     plain = lambda d: d.groupBy(*own).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")).select(*back, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    # A table of no more rows has no such group.
+    if rows.count() <= hot_rows:
+        return plain(rows)
+    hot = Scratch(spark).write(hot_keys(rows.where("v is not null"), own, hot_rows).select(*own), "hot")
     if hot.isEmpty():
         return plain(rows)
     same = [F.col(o).eqNullSafe(F.col(f"h{o}")) for o in own]

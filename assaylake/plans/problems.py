@@ -28,11 +28,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing labels by predictive mean matching: each field is fitted on time within the samples, and the record of the sample with the nearest prediction gives its value."""
-    rows, out = _labels(spark, sf_dir), []
-    for f in VALID:
-        fitted = with_prediction(rows.select("record_id", "sample_id", "t", F.lit(f).alias("field_name"), F.col(f).alias("v")), ["sample_id"], "v", ["t"])
-        out.append(nearest_donors(fitted, "record_id", ["sample_id", "field_name"], "v", "prediction", along="t"))
-    return reduce(DataFrame.unionByName, out)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in VALID])).alias("f")
+    rows = _labels(spark, sf_dir).select("record_id", "sample_id", "t", cells).select("record_id", "sample_id", "t", "f.*")
+    fitted = with_prediction(rows, ["sample_id", "field_name"], "v", ["t"], fit_by="field_name")
+    return nearest_donors(fitted, "record_id", ["sample_id", "field_name"], "v", "prediction", along="t")
 
 
 def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
