@@ -70,16 +70,17 @@ def group_percentiles(
         "state0",
     )
     resolved = (F.col("lo") == F.col("hi")) | (F.col("inside") <= F.col("n") * F.lit(max_rank_error))
-    total = state.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > max(hot_rows, total * HOT_SHARE)
+    total = F.lit(rows.count())
+    is_hot = F.col("n") > F.greatest(F.lit(float(hot_rows)), total * HOT_SHARE)
     hot_groups = F.broadcast(state.where(is_hot).select(*[F.col(k).alias(f"h_{k}") for k in keys]))
     done, step = [state.where(resolved)], 0
     while True:
         open_ = state.where(~resolved)
-        if open_.isEmpty():
+        n_open = open_.count()
+        if not n_open:
             break
         step += 1
-        small = open_.limit(broadcast_groups + 1).count() <= broadcast_groups
+        small = n_open <= broadcast_groups
         if small:
             hit = inside(rows, F.broadcast(open_))
         else:

@@ -180,6 +180,9 @@ def _holders(docs: DataFrame, recurring: DataFrame, least: int, phrase: int, bit
 
 def _with_frequent(rows: DataFrame, keyed: DataFrame, keys: list[str], rows_in_all: int, hot_rows: int) -> DataFrame:
     """``rows`` joined with ``keyed`` (unique keys, ``n`` their rows): the few keys with very many rows by broadcast, at most 1 / HOT_SHARE, the others by shuffle."""
+    if rows_in_all <= hot_rows:
+        # No key of a table this small is hot.
+        return rows.join(keyed.hint("merge"), keys)
     often = F.col("n") > max(hot_rows, rows_in_all * HOT_SHARE)
     hot = F.broadcast(keyed.where(often))
     cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(~often).hint("merge"), keys)
@@ -196,10 +199,11 @@ def _streams(hits: DataFrame, holders: DataFrame, phrase: int, shard_phrases: in
     keyed = hits.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("rep <> last").drop("last")
     keyed = scratch.write(keyed, "phrases")
     shards = max(1, -(-keyed.count() // shard_phrases))
-    met = scratch.write(_with_frequent(hits.withColumnRenamed("n", "chars"), keyed, ["h", "h2"], hits.count(), hot_rows), "hits")
+    n_hits = hits.count()
+    met = scratch.write(_with_frequent(hits.withColumnRenamed("n", "chars"), keyed, ["h", "h2"], n_hits, hot_rows), "hits")
     own = met.where("id = rep").groupBy("h", "h2", "rep").agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
     own = own.withColumn("shard", F.pmod(F.xxhash64("rep", F.expr("pos div 65536")), F.lit(shards)).cast("int"))
-    meets = _with_frequent(met.select("h", "h2", "id", "chars"), own.select("h", "h2", "shard", "n"), ["h", "h2"], hits.count(), hot_rows).select("id", "chars", "shard").distinct()
+    meets = _with_frequent(met.select("h", "h2", "id", "chars"), own.select("h", "h2", "shard", "n"), ["h", "h2"], n_hits, hot_rows).select("id", "chars", "shard").distinct()
     parts = meets.groupBy("shard").agg(F.ceil(F.sum("chars") / part_chars).cast("int").alias("parts"))
     meets = meets.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     copies = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -37,7 +37,7 @@ def _open_buckets(open_: DataFrame, bits: int) -> DataFrame:
     out = [0] * (1 << (bits - 6))
     for r in words:
         out[r.w] = r.b
-    return open_.sparkSession.createDataFrame([(out,)], "_bits array<bigint>")
+    return open_.sparkSession.createDataFrame([(out,)], "_bits array<bigint>", verifySchema=False)
 
 
 def top_n_per_group(
