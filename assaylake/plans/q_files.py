@@ -36,10 +36,11 @@ def r2(spark, d):
 
 @R.add("R03_batch_file", f"{_M} SELECT feature || '_C6H12_1.5' AS feature, 'Area: S' || sample AS original_col, value FROM matrix")
 def r3(spark, d):
-    m = matrix(spark, d).select("feature", F.concat(F.lit("Area: S"), F.col("sample").cast("string")).alias("c"), "value")
-    wide = writers.widen(m, "feature", "c", "value").withColumnRenamed("feature", "Name").withColumn("Formula", F.lit("C6H12")).withColumn("RT [min]", F.lit("1.5"))
-    path = Scratch(spark).path("batch.csv")
-    writers.write_delimited(wide, path)
+    m = matrix(spark, d).select(F.col("feature").alias("Name"), F.lit("C6H12").alias("Formula"), F.lit("1.5").alias("RT [min]"), F.concat(F.lit("Area: S"), F.col("sample").cast("string")).alias("c"), "value")
+    scratch = Scratch(spark)
+    path = scratch.path("batch.csv")
+    # The writer reads it twice, for the columns and for the cells.
+    writers.write_wide(scratch.write(m, "batch"), ["Name", "Formula", "RT [min]"], "c", "value", path)
     return readers.read_batch_file(spark, path).where("value is not null").select("feature", "original_col", "value")
 
 

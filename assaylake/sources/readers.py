@@ -6,7 +6,8 @@ import csv
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -35,8 +36,8 @@ def sniff_delimiter(text: str) -> str:
         return "\t" if "\t" in text else ","
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A delimited file with header, all columns as text; UTF-8 unless its bytes aren't, then Latin-1."""
+def _sniffed(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> tuple[str, str]:
+    """(delimiter, encoding) of a file, those that are given or what its first bytes tell."""
     if encoding is None:
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
         raw = bytes(head.c) if head else b""
@@ -47,9 +48,14 @@ def read_text_table(spark: SparkSession, path: str, sep: str | None = None, enco
             encoding = "UTF-8" if _decodes(raw) else "ISO-8859-1"
         if sep is None:
             sep = sniff_delimiter(raw.decode(encoding, "replace")[:1024])
+    return sep or sniff_delimiter(_head(spark, path)), encoding
+
+
+def read_text_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A delimited file with header, all columns as text; UTF-8 unless its bytes aren't, then Latin-1."""
+    sep, encoding = _sniffed(spark, path, sep, encoding)
     # Spark splits lines before decoding, so UTF-16 needs whole-file records.
-    reader = spark.read.option("header", True).option("sep", sep or sniff_delimiter(_head(spark, path))).option("encoding", encoding).option("multiLine", encoding == "UTF-16")
-    return reader.csv(path)
+    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", encoding == "UTF-16").csv(path)
 
 
 def _decodes(raw: bytes) -> bool:
@@ -73,6 +79,58 @@ def wide_to_long(df: DataFrame, feature: str, samples: Sequence[str], name: str
     return cols.unpivot("feature", [col(c) for c in samples], name, "value")
 
 
+#: A character that no text holds, so that a line is one column.
+NO_SEPARATOR = "\ufdd0"
+
+
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of a delimited line as they are written; a delimiter within quotes is none."""
+    d = rf"\x{{{ord(sep):x}}}"
+    return F.regexp_extract_all(line, F.lit(rf'(?s)(?<=^|{d})(?:"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"(?={d}|\z)|[^{d}]*+)'), F.lit(0))
+
+
+def _unquoted(field: Column) -> Column:
+    """The text of a written field: quotes around it are cut, an empty one is NULL."""
+    inner = F.regexp_replace(F.substr(field, F.lit(2), F.length(field) - 2), r'\\(["\\])|"(")', "$1$2")
+    quoted = field.startswith(F.lit('"')) & field.endswith(F.lit('"')) & (F.length(field) > 1)
+    return F.when(quoted, inner).when(field != "", field)
+
+
+def _column_names(fields: Sequence[str | None]) -> list[str]:
+    """Names for the fields of a header as Spark gives them: a name without text or of several columns gets its position."""
+    often = Counter(c.lower() for c in fields if c)
+    return [f"_c{i}" if not c else f"{c}{i}" if often[c.lower()] > 1 else c for i, c in enumerate(fields)]
+
+
+def read_wide_lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(column names, rows of an array ``fields`` of written fields) of a delimited file with header and any number of columns.
+
+    Spark's own reader ends at 20,480 columns, and plans grow with them; here a line is one value, so the plan is the same for any
+    width. A line that equals the header is one, as in each part of a folder. Short lines are filled up.
+    """
+    sep, encoding = _sniffed(spark, path)
+    lines = spark.read.option("sep", NO_SEPARATOR).option("quote", "").option("encoding", encoding).option("multiLine", encoding == "UTF-16").schema("line string").csv(path)
+    head = lines.select(F.md5("line").alias("hash"), F.transform(_fields(F.col("line"), sep), _unquoted).alias("names")).first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
+    columns = _column_names(head.names)
+    rows = lines.where(F.md5("line") != head.hash).select(_fields(F.col("line"), sep).alias("fields"))
+    missing = F.greatest(F.lit(len(columns)) - F.size("fields"), F.lit(0))
+    return columns, rows.select(F.concat("fields", F.array_repeat(F.lit(""), missing)).alias("fields"))
+
+
+def _field(columns: Sequence[str], name: str) -> Column:
+    return _unquoted(F.get("fields", F.lit(columns.index(name))))
+
+
+def _cells(rows: DataFrame, columns: Sequence[str], wanted: Callable[[str], bool]) -> DataFrame:
+    """(feature, original_col, value) of the wanted columns of rows (feature, fields); text that is no number becomes NULL."""
+    # The names of one line, so they may be broadcast.
+    names = rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns) if wanted(c)], "pos int, original_col string")
+    cells = rows.select("feature", F.posexplode("fields").alias("pos", "_text")).join(F.broadcast(names), "pos")
+    return cells.select("feature", "original_col", _number(_unquoted(F.col("_text"))).alias("value"))
+
+
 def read_wide(spark: SparkSession, path: str, threshold: float | None = None, feature: str = "Name", prefix: str = AREA) -> DataFrame:
     """(feature, original_col, sample_id, batch, sample_type, value) of a wide file with one column per injection.
 
@@ -89,14 +147,14 @@ def read_wide(spark: SparkSession, path: str, threshold: float | None = None, fe
 
 
 def read_batch_file(spark: SparkSession, path: str, with_name: bool = True) -> DataFrame:
-    """(feature, original_col, value) keyed by name, formula and time; rows without formula are left out, repeats numbered from 2."""
-    df = read_text_table(spark, path)
-    rt = next(c for c in df.columns if c.lower().startswith("rt"))
-    key = F.concat_ws("_", *([F.coalesce("Name", F.lit(""))] if with_name else []), "Formula", col(rt))
-    df = df.where(F.col("Formula").isNotNull()).withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key)
+    """(feature, original_col, value) keyed by name, formula and time, any number of columns; rows without formula are left out, repeats numbered from 2."""
+    columns, rows = read_wide_lines(spark, path)
+    rt = next(c for c in columns if c.lower().startswith("rt"))
+    key = F.concat_ws("_", *([F.coalesce(_field(columns, "Name"), F.lit(""))] if with_name else []), _field(columns, "Formula"), _field(columns, rt))
+    rows = rows.where(_field(columns, "Formula").isNotNull()).select("fields", F.monotonically_increasing_id().alias("_at"), key.alias("_key"))
     n = F.row_number().over(Window.partitionBy("_key").orderBy("_at"))
-    df = df.withColumn("_feature", F.when(n == 1, F.col("_key")).otherwise(F.concat_ws(" ", "_key", n.cast("string"))))
-    return wide_to_long(df, "_feature", [c for c in df.columns if AREA in c])
+    feature = F.when(n == 1, F.col("_key")).otherwise(F.concat_ws(" ", "_key", n.cast("string")))
+    return _cells(rows.select(feature.alias("feature"), "fields"), columns, lambda c: AREA in c)
 
 
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
