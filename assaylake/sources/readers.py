@@ -132,12 +132,12 @@ def _cells(rows: DataFrame, columns: Sequence[str], wanted: Callable[[str], bool
 
 
 def read_wide(spark: SparkSession, path: str, threshold: float | None = None, feature: str = "Name", prefix: str = AREA) -> DataFrame:
-    """(feature, original_col, sample_id, batch, sample_type, value) of a wide file with one column per injection.
+    """(feature, original_col, sample_id, batch, sample_type, value) of a wide file with one column per injection, any number of them.
 
     Features without any value above the threshold are left out.
     """
-    df = read_text_table(spark, path)
-    long = wide_to_long(df, feature, [c for c in df.columns if c.startswith(prefix)])
+    columns, rows = read_wide_lines(spark, path)
+    long = _cells(rows.select(_field(columns, feature).alias("feature"), "fields"), columns, lambda c: c.startswith(prefix))
     c = F.col("original_col")
     sample = N.sample_of(c)
     out = long.select("feature", c, sample.alias("sample_id"), N.batch_of(c).alias("batch"), N.sample_type_of(sample).alias("sample_type"), "value")
