@@ -4,9 +4,10 @@
    write one name become few distinct forms.
 2. *Mentions*: an Aho-Corasick automaton of all names and aliases runs over the distinct forms; the longest
    non-overlapping mention wins.
-3. *Token sets*: forms without an accepted mention go to token-set similarity. Words in any order, or the letter triples of a
-   name whose blanks moved, must be the same up to the typing errors that a name of that length is
-   allowed. Only names that share one of a form's rarest tokens are looked at.
+3. *Token sets*: forms without an accepted mention go to token-set similarity: the weighted share of common tokens, which are the
+   words in any order, or all letters as one where blanks moved. A word with typing errors, as many as its length allows, is common by
+   its likeness, and the most similar name wins if it is similar enough. Only names that share one of a form's rarest words,
+   and words that share one of its rarest letter triples, are looked at.
 
 A list that is longer than one automaton should be is cut into shards by the first letters of its names; a form meets the
 shards in which something that it holds could be listed. What the shards find is put together per form before anything is decided, so
@@ -43,6 +44,8 @@ ANCHOR = 6
 HOT_ROWS = 100_000
 #: Share of all forms from which on a word counts less in token sets, see ``common_words``.
 COMMON_SHARE = 1e-3
+#: The least that a word counts, so that a name of common words alone can be found.
+LEAST_WEIGHT = 0.01
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,8 @@ class Vocabulary:
     counts only if the rest of the text is generic. ``abbreviations`` stand for whole words, ``glued`` finds
     those between a number and a name. ``spellings`` sound alike. ``edits`` lists (letters, errors): typing errors allowed
     from that number of letters on; names in which ``fixed`` is found get none. ``similarity`` is the least weighted
-    share of common words (intersection over union) of two token sets.
+    share of common words (intersection over union) of two token sets; a word with typing errors is common by its likeness, so 1 allows none. A word may
+    be abbreviated to ``stem`` letters, 0: to none but ``abbreviations``. With ``weighted`` common words count less.
     """
 
     annotations: tuple[str, ...] = ()
@@ -70,6 +74,8 @@ class Vocabulary:
     edits: tuple[tuple[int, int], ...] = ((5, 1), (10, 2))
     fixed: str | None = None
     similarity: float = 0.8
+    stem: int = 3
+    weighted: bool = True
 
 
 # What instruments and typists add to a name of a compound, words of texts that name no compound,
@@ -95,7 +101,9 @@ COMPOUNDS = Vocabulary(
     spellings=(("ph", "f"), ("th", "t"), ("y", "i"), ("k", "c"), ("hidroxil", "hidroxi"), ("oe", "e")),
     edits=((10, 2),),
     fixed=":",
-    similarity=1.0,
+    similarity=0.75,  # two errors in a name of ten letters of which two are missing
+    stem=0,  # a shorter name is another compound
+    weighted=False,
 )
 
 DASHES = dict.fromkeys(map(ord, "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad"), "-")
@@ -204,6 +212,7 @@ class Names:
         self.named = re.compile(vocabulary.named)
         self.glued = re.compile(vocabulary.glued) if vocabulary.glued else None
         self.fixed = re.compile(vocabulary.fixed) if vocabulary.fixed else None
+        self.most = max((e for _, e in vocabulary.edits), default=0)
 
     def sound(self, letters: str) -> str:
         """Letters with like-sounding spellings made one, doubled letters single and a final e dropped."""
@@ -321,109 +330,165 @@ def decide(names: Names, form: str, found: Sequence[tuple[str, int, int, str]])
     return None, True
 
 
+#: A number and a word of four letters or more that are written as one run.
+JOINT = regex.compile(r"(?<=\d)(?=[^\W\d_]{4})|(?<=[^\W\d_]{4})(?=\d)")
+#: Words whose partners a task remembers.
+KEPT_WORDS = 10_000
+#: What a word that only sounds alike counts less than the same word, and one that is spelt otherwise, in typing errors.
+HEARD, SPELT = 0.05, 0.1
+
+
+class Words:
+    """The words of some token sets, by how they are spelt and by how they sound. Built of {word: sets}."""
+
+    def __init__(self, names: Names, by_word: dict[str, list[tuple]]):
+        self.names, self.by_word, self.sorted = names, by_word, sorted(by_word)
+        self.written: dict[str, set[str]] = defaultdict(set)
+        for w in by_word:
+            self.written[w].add(w)
+            self.written[names.sound(w)].add(w)
+        self.speller = Speller(self.written)
+        self.seen: dict[str, dict[str, float]] = {}
+
+    def ways(self, word: str) -> list[list]:
+        """[spelling, cost, None or what the speller takes] of a word as it sounds and as it is spelt."""
+        if not self.names.v.spellings:
+            return [[word, 0.0, None]]
+        heard = self.names.sound(word)
+        return [[word, HEARD, None]] if heard == word else [[heard, HEARD, None], [word, SPELT, None]]
+
+    def within(self, word: str, ways: list[list], errors: int) -> dict[str, float]:
+        """Words of the list that a word may stand for with at most that many typing errors, with their likeness."""
+        names, out = self.names, {word: 1.0} if word in self.by_word else {}
+        for way in ways:
+            # A name may be longer than what is typed of it; its own length decides what it is allowed.
+            w, most = way[0], errors
+            while names.errors(len(w) + most) < most:
+                most -= 1
+            if most:
+                way[2] = way[2] or self.speller.ready(w)
+            for other, d in (self.speller.near(way[2], most) if most else {w: 0} if w in self.written else {}).items():
+                if d <= names.errors(len(other)):
+                    s = 1 - (d + way[1]) / (len(word) + 1)
+                    for x in self.written[other]:
+                        if s > out.get(x, 0.0):
+                            out[x] = s
+        return out
+
+    def alike(self, word: str) -> dict[str, float]:
+        """Words of the list that a word may stand for, with their likeness: itself, with typing errors, or one abbreviating the other."""
+        if word not in self.seen:
+            if len(self.seen) >= KEPT_WORDS:
+                self.seen.clear()
+            out, stem = self.within(word, self.ways(word), self.names.most), self.names.v.stem
+            if stem and len(word) >= stem:
+                for i in range(bisect_left(self.sorted, word), len(self.sorted)):
+                    if not self.sorted[i].startswith(word):
+                        break
+                    out.setdefault(self.sorted[i], 0.9)
+                for n in range(stem, len(word)):
+                    if word[:n] in self.by_word:
+                        out.setdefault(word[:n], 0.9)
+            self.seen[word] = out
+        return self.seen[word]
+
+
 class TokenSets:
-    """Names by their letters and by their words. Built of (kind, form, key)."""
+    """Token sets of listed names, and their similarity to those of a form. Built of (kind, form, key).
+
+    A name has the set of its words and, as blanks move, the set of all its letters as one word. Its numbers are no words: they must be the
+    same, those of the letters in the same order. The similarity of two sets is the weighted share of common words, their
+    intersection over their union; a word with typing errors is in the intersection by its likeness.
+    """
 
     def __init__(self, names: Names, forms: Iterable[tuple[str, str, str]], weights: dict[str, float]):
         self.names, self.weights = names, weights
-        letters: dict[tuple[str, ...], dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
-        self.sets: dict[str, str] = {}
+        self.sets: dict[tuple, set[str]] = defaultdict(set)
         for kind, form, key in forms:
-            if kind == KEY:
-                continue
-            numbers, word = parts(form.replace(" ", ""))
-            if names.errors(len(word)) and not (names.fixed and names.fixed.search(form)):
-                for w in {word, names.sound(word)}:
-                    letters[numbers][w].add(key)
-            if kind == WORDS or names.v.similarity < 1:
-                self.sets[form] = key
-        self.letters = {n: (words, Speller(words)) for n, words in letters.items()}
-        self.by_word: dict[str, list[str]] = defaultdict(list)
-        if names.v.similarity < 1:
-            for form in self.sets:
-                for w in form.split(" "):
-                    self.by_word[w].append(form)
-            self.sorted = sorted(self.by_word)
-            self.speller = Speller(self.by_word)
+            if kind != KEY and not (names.fixed and names.fixed.search(form)):
+                if names.errors(len((one := self.joined(form))[1][0])):
+                    self.sets[one].add(key)
+                if kind == WORDS and (several := self.worded(form))[1]:
+                    self.sets[several].add(key)
+        held: dict[tuple[str, ...], dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+        for one in self.sets:
+            for w in one[1]:
+                held[one[0]][w].append(one)
+        #: Of each group of numbers the sets by their words.
+        self.blocks = {numbers: Words(names, by_word) for numbers, by_word in held.items()}
+
+    def joined(self, form: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """(numbers in their order, all letters as one word) of a form."""
+        numbers, word = parts(form.replace(" ", ""))
+        return ("", *numbers), (word,)
+
+    def worded(self, form: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """(words with digits, other words but those that name nothing) of a form, both sorted."""
+        words = set(JOINT.sub(" ", form).split(" "))
+        named = lambda w: not self.names.v.whole or w not in self.names.v.generic_words
+        return tuple(sorted(w for w in words if not w.isalpha())), tuple(sorted(w for w in words if w.isalpha() and named(w)))
 
     def weight(self, word: str) -> float:
-        return self.weights.get(word, 1.0)
-
-    def alike(self, word: str) -> dict[str, float]:
-        """Words of the list that a word may stand for, with their likeness: itself, with typing errors, or one abbreviating the other."""
-        if word in self.by_word:
-            return {word: 1.0}
-        if not word.isalpha():
-            return {}
-        out = {w: 1 - d / (len(word) + 1) for w, d in self.speller.near(self.speller.ready(word), self.names.errors(len(word))).items() if w.isalpha() and d <= self.names.errors(len(w))}
-        if len(word) >= 3:
-            for i in range(bisect_left(self.sorted, word), len(self.sorted)):
-                if not self.sorted[i].startswith(word):
-                    break
-                out.setdefault(self.sorted[i], 0.9)
-        out.update({word[:n]: 0.9 for n in range(3, len(word)) if word[:n] in self.by_word and word[:n] not in out})
-        return out
+        return max(self.weights.get(word, 1.0), LEAST_WEIGHT)
 
     def similar(self, form: str) -> list[tuple[float, str]]:
-        """(distance, key) of the nearest names of this index, at most two of different keys."""
-        names, best = self.names, {}
+        """(distance, key) of the nearest names of this index that are similar enough, at most two of different keys."""
+        names = self.names
+        if names.fixed and names.fixed.search(form):
+            return []
         whole, words = names.forms(form)
-        ways = []
-        for f in {*whole, *(w.replace(" ", "") for w in words)}:
-            numbers, word = parts(f)
-            if numbers in self.letters and not (names.fixed and names.fixed.search(f)):
-                keys, speller = self.letters[numbers]
-                ways += [(w == word, speller.ready(w), keys, speller) for w in {names.sound(word), word}]
-        # Fewer errors come first, then sounds before spellings.
-        for errors in range(max((e for _, e in names.v.edits), default=-1) + 1):
-            for spelt in (False, True) if names.v.spellings else (True,):
-                for as_typed, w, keys, speller in ways:
-                    # A name may be longer than what is typed of it; its own length decides what it is allowed.
-                    if as_typed == spelt and names.errors(len(w[0]) + errors) >= errors:
-                        for other, d in speller.near(w, errors).items():
-                            if d <= names.errors(len(other)):
-                                for k in keys[other]:
-                                    best[k] = min(d, best.get(k, d))
-                if best:
-                    break
-            if best:
+        best = self.nearest({self.joined(f) for f in {*whole, *words}})
+        # If no word may be left over, one word is what its letters are.
+        for numbers, own in {self.worded(w) for w in words or {" ".join(runs_of(form))} if not names.v.whole or sum(map(str.isalpha, w.split(" "))) > 1}:
+            for k, s in self.common(numbers, own).items():
+                best[k] = max(s, best.get(k, 0.0))
+        most = max(best.values(), default=0.0)
+        return [(1 - most, k) for k in sorted(k for k, s in best.items() if s == most)[:2]]
+
+    def nearest(self, ways: Iterable[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, float]:
+        """{key: similarity} of the sets of one word, for which it is the likeness of the words, with the fewest errors that any of them has; the others are less similar."""
+        asked = [(block, w, block.ways(w)) for numbers, (w,) in ways if (block := self.blocks.get(numbers))]
+        out: dict[str, float] = {}
+        for errors in range(self.names.most + 1):
+            for block, w, spelt in asked:
+                for x, s in block.within(w, spelt, errors).items():
+                    if (s := round(s, 9)) >= self.names.v.similarity:
+                        for one in block.by_word[x]:
+                            for key in self.sets[one]:
+                                out[key] = max(out.get(key, 0.0), s)
+            if out:
                 break
-        if not best and names.v.similarity < 1:
-            for own in words or {" ".join(runs_of(form))}:
-                for k, s in self.common(own.split(" ")).items():
-                    best[k] = min(10 - s, best.get(k, 10.0))
-        if not best:
-            return []
-        least = min(best.values())
-        return [(float(least), k) for k in sorted(k for k, d in best.items() if d == least)[:2]]
-
-    def common(self, own: list[str]) -> dict[str, float]:
-        """{key: weighted share of common words} of names whose share is the least allowed one or more; words with digits must be the same."""
-        total, least = sum(map(self.weight, own)), self.names.v.similarity
-        ways = {w: self.alike(w) for w in own}
-        near, left = set(), total
-        for w in sorted(own, key=lambda w: (-self.weight(w), len(self.by_word.get(w, ())))):
-            if left < least * total - 1e-9:
+        return out
+
+    def common(self, numbers: tuple[str, ...], own: tuple[str, ...]) -> dict[str, float]:
+        """{key: weighted share of common words} of names with these numbers whose share is the least allowed one or more; with ``whole`` none of their words may lack a partner."""
+        least, whole = self.names.v.similarity, self.names.v.whole
+        if numbers not in self.blocks:
+            return {}
+        block = self.blocks[numbers]
+        ways = {w: block.alike(w) for w in own}
+        # What a word adds if it finds a partner: it weighs what the word weighs that it stands for.
+        adds = {w: max(map(self.weight, xs), default=0.0) for w, xs in ways.items()}
+        near, past, left = set(), 0.0, sum(adds.values())
+        for w in sorted(own, key=lambda w: (-self.weight(w), len(block.by_word.get(w, ())))):
+            if left < least * (past + left) - 1e-9:
                 break  # what is left can't make a name similar enough
-            near.update(f for x in ways[w] for f in self.by_word[x])
-            left -= self.weight(w)
+            near.update(one for x in ways[w] for one in block.by_word[x])
+            past, left = past + self.weight(w), left - adds[w]
         out: dict[str, float] = {}
-        digits = sorted(w for w in own if not w.isalpha())
-        for form in near:
-            theirs = form.split(" ")
-            if sorted(w for w in theirs if not w.isalpha()) != digits:
-                continue
+        for one in near:
+            theirs = one[1]
             free, left, shared, paired = set(theirs), set(own), 0.0, 0.0
             for s, w, x in sorted(((s, w, x) for w in own for x, s in ways[w].items() if x in free), key=lambda p: (-p[0], p[1], p[2])):
                 if x in free and w in left:
                     free.discard(x)
                     left.discard(w)
-                    both = min(self.weight(w), self.weight(x))
-                    shared, paired = shared + s * both, paired + both
-            score = shared / (total + sum(map(self.weight, theirs)) - paired)
-            if score >= least:
-                key = self.sets[form]
-                out[key] = max(out.get(key, 0.0), score)
+                    shared, paired = shared + s * self.weight(x), paired + self.weight(x)
+            union = paired + sum(map(self.weight, left)) + sum(map(self.weight, free))
+            score = round(shared / union, 9) if union else 0.0
+            if score >= least and not (whole and (free or left)):
+                for key in self.sets[one]:
+                    out[key] = max(out.get(key, 0.0), score)
         return out
 
 
@@ -439,7 +504,7 @@ def _listed(canonical: DataFrame, key: str, name: str, aliases: str, vocabulary:
                 t = plain(n) if isinstance(n, str) else ""
                 whole, words = names.forms(t)
                 out += [(NAME, f, k) for f in whole] + [(WORDS, f, k) for f in words]
-                if vocabulary.similarity < 1 and not words and whole:
+                if not words and whole:
                     out.append((WORDS, " ".join(runs_of(t)), k))
             yield pd.DataFrame(out, columns=["kind", "form", "k"])
 
@@ -589,9 +654,9 @@ def map_to_canonical(
 
     ``canonical`` has one row per entry with its key, name and an array of aliases. The text decides: a
     canonical key within it, else the longest non-overlapping mention that an automaton of all names and
-    aliases finds (with ``vocabulary.whole`` only if the rest of the text is generic), else the nearest name by token-set
-    similarity: the same numbers, and the same words or letters up to typing errors in proportion to the length, or, with
-    ``vocabulary.similarity`` below 1, most of the words, the commoner ones counting less. The code, read leniently,
+    aliases finds (with ``vocabulary.whole`` only if the rest of the text is generic), else the name with the most similar token set
+    (``TokenSets``): the same numbers, and a weighted share of common words of ``vocabulary.similarity`` or more, of which none may be left over
+    with ``vocabulary.whole``. The code, read leniently,
     decides only where the text names nothing; ``code`` None means there is none. Names that tie leave a value unmatched.
 
     NULL and empty texts name nothing, NULL codes are unknown, repeated rows each come out, rows with a
@@ -621,7 +686,7 @@ def map_to_canonical(
     cleaned = scratch.write(rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"id {kind}, form string, codes array<string>, typed string"), "cleaned")
     asked = scratch.write(cleaned.groupBy(F.coalesce("form", F.lit("")).alias("form"), "codes").agg(F.count(F.lit(1)).alias("n")), "asked")
     n_asked, shards = asked.count(), max(1, -(-listed.count() // shard_entries))
-    weights = common_words(asked.select("form").unionByName(listed.where(F.col("kind") == WORDS).select("form"))) if vocabulary.similarity < 1 else {}
+    weights = common_words(asked.select("form").unionByName(listed.where(F.col("kind") == WORDS).select("form"))) if vocabulary.weighted else {}
     if shards == 1:
         matched = _match(asked, listed, vocabulary, weights, max(spark.sparkContext.defaultParallelism, n_asked // TASK_ROWS))
     else:

@@ -70,6 +70,34 @@ def test_mapping_of_any_names(spark, shard_entries):
     assert {TYPED[i][0]: k for i, k in got.items()} == dict(TYPED)
 
 
+COMPOUNDS_TYPED = [
+    # Words in another order with an error each, beside a word that names nothing, number glued to a word: only token sets find them.
+    ("acidd rolmabmupinicc sulfatte", "HMDB0000001"), ("peak mixture octanoylcarnitinne", "HMDB0000002"), ("hydroxyoctanoylglycinne ester 3methylbutanoyl", "HMDB0000003"), ("ester 3methylbutanoyl hydroxyoctanoylglycinne sample9", "UNMATCHED"),
+    # Another number, a word missing or too much, blanks moved, two names that are equally near.
+    ("ester 4methylbutanoyl hydroxyoctanoylglycinne", "UNMATCHED"), ("sulfatee rolmabmupinicc", "UNMATCHED"), ("acid rolmabmupinicc sulfate kashot", "UNMATCHED"), ("rolmab mupinicacid sulfatee", "HMDB0000001"), ("gudbushotamixe", "UNMATCHED"),
+]
+
+
+@pytest.mark.parametrize("shard_entries", [2, 50_000])
+def test_compounds_go_to_token_sets(spark, shard_entries):
+    listed = [("HMDB0000001", "rolmabmupinic acid sulfate", None), ("HMDB0000002", "Octanoylcarnitine", None), ("HMDB0000003", "3-methylbutanoyl hydroxyoctanoylglycine ester", None), ("HMDB0000004", "gudbushotamide", None), ("HMDB0000005", "gudbushotamine", None)]
+    canonical = spark.createDataFrame(listed, "accession string, name string, synonyms array<string>")
+    values = spark.createDataFrame([(i, t, None) for i, (t, _) in enumerate(COMPOUNDS_TYPED)], "entry_id int, feature string, hmdb_id string")
+    got = {r.entry_id: r.accession for r in M.map_to_canonical(values, "entry_id", "feature", "hmdb_id", canonical, "accession", "name", "synonyms", shard_entries).collect()}
+    assert {COMPOUNDS_TYPED[i][0]: k for i, k in got.items()} == dict(COMPOUNDS_TYPED)
+
+
+def test_similarity_of_token_sets():
+    names = M.Names(M.COMPOUNDS)
+    sets = M.TokenSets(names, [(M.WORDS, "acid rolmabmupinic sulfate", "a"), (M.NAME, "octanoylcarnitine", "b")], {"acid": 0.25})
+    # Intersection over union: one of the words is common by its likeness, 1 - (1 + SPELT or HEARD) / (letters + 1).
+    [(d, k)] = sets.similar("rolmabmupinc sulfate acid")
+    assert k == "a" and d == pytest.approx(1 - (0.25 + 1 + 1 - 1.05 / 13) / 2.25, abs=1e-6)
+    [(d, k)] = sets.similar("octanoylcarnitin")
+    assert k == "b" and d == pytest.approx(0.05 / 17, abs=1e-6)
+    assert sets.similar("rolmabmupinc acid") == [] and sets.similar("") == []
+
+
 def plain_edits(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
