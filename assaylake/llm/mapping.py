@@ -355,10 +355,10 @@ class Words:
         if not self.names.v.spellings:
             return [[word, 0.0, None]]
         heard = self.names.sound(word)
-        return [[word, HEARD, None]] if heard == word else [[heard, HEARD, None], [word, SPELT, None]]
+        return [[word, SPELT, None]] if heard == word else [[heard, HEARD, None], [word, SPELT, None]]
 
-    def within(self, word: str, ways: list[list], errors: int) -> dict[str, float]:
-        """Words of the list that a word may stand for with at most that many typing errors, with their likeness."""
+    def within(self, word: str, ways: list[list], errors: int, letters: int) -> dict[str, float]:
+        """Words of the list that a word may stand for with at most that many typing errors, with their likeness: 1 less the errors in so many letters."""
         names, out = self.names, {word: 1.0} if word in self.by_word else {}
         for way in ways:
             # A name may be longer than what is typed of it; its own length decides what it is allowed.
@@ -369,7 +369,7 @@ class Words:
                 way[2] = way[2] or self.speller.ready(w)
             for other, d in (self.speller.near(way[2], most) if most else {w: 0} if w in self.written else {}).items():
                 if d <= names.errors(len(other)):
-                    s = 1 - (d + way[1]) / (len(word) + 1)
+                    s = 1 - (d + way[1]) / (letters + 1)
                     for x in self.written[other]:
                         if s > out.get(x, 0.0):
                             out[x] = s
@@ -380,7 +380,7 @@ class Words:
         if word not in self.seen:
             if len(self.seen) >= KEPT_WORDS:
                 self.seen.clear()
-            out, stem = self.within(word, self.ways(word), self.names.most), self.names.v.stem
+            out, stem = self.within(word, self.ways(word), self.names.most, len(word)), self.names.v.stem
             if stem and len(word) >= stem:
                 for i in range(bisect_left(self.sorted, word), len(self.sorted)):
                     if not self.sorted[i].startswith(word):
@@ -445,13 +445,15 @@ class TokenSets:
         most = max(best.values(), default=0.0)
         return [(1 - most, k) for k in sorted(k for k, s in best.items() if s == most)[:2]]
 
-    def nearest(self, ways: Iterable[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, float]:
+    def nearest(self, ways: set[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, float]:
         """{key: similarity} of the sets of one word, for which it is the likeness of the words, with the fewest errors that any of them has; the others are less similar."""
+        # The ways to write one form count as equally long, so those with as many errors tie.
+        letters = max((len(w) for _, (w,) in ways), default=0)
         asked = [(block, w, block.ways(w)) for numbers, (w,) in ways if (block := self.blocks.get(numbers))]
         out: dict[str, float] = {}
         for errors in range(self.names.most + 1):
             for block, w, spelt in asked:
-                for x, s in block.within(w, spelt, errors).items():
+                for x, s in block.within(w, spelt, errors, letters).items():
                     if (s := round(s, 9)) >= self.names.v.similarity:
                         for one in block.by_word[x]:
                             for key in self.sets[one]:

@@ -92,9 +92,12 @@ def test_similarity_of_token_sets():
     sets = M.TokenSets(names, [(M.WORDS, "acid rolmabmupinic sulfate", "a"), (M.NAME, "octanoylcarnitine", "b")], {"acid": 0.25})
     # Intersection over union: one of the words is common by its likeness, 1 - (1 + SPELT or HEARD) / (letters + 1).
     [(d, k)] = sets.similar("rolmabmupinc sulfate acid")
-    assert k == "a" and d == pytest.approx(1 - (0.25 + 1 + 1 - 1.05 / 13) / 2.25, abs=1e-6)
+    assert k == "a" and d == pytest.approx(1 - (0.25 + 1 + 1 - 1.1 / 13) / 2.25, abs=1e-6)
     [(d, k)] = sets.similar("octanoylcarnitin")
     assert k == "b" and d == pytest.approx(0.05 / 17, abs=1e-6)
+    # Two ways to write a form, as typed and with the abbreviation written out, with one error each: a tie.
+    tie = M.TokenSets(names, [(M.NAME, "2oxoheptanoylglycine", "c"), (M.NAME, "2hydroxyheptanoylglycine", "d")], {})
+    assert [k for _, k in tie.similar("2 ohoheptanoylglycine")] == ["c", "d"]
     assert sets.similar("rolmabmupinc acid") == [] and sets.similar("") == []
 
 
